@@ -40,7 +40,7 @@ def text_slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_CHARS) ->
         yield part, [t or "" for t in part.column(column).to_pylist()]
 
 
-def map_texts(df: DataFrame, fn, schema: T.StructType | str, column: str = "text") -> DataFrame:
+def map_texts(df: DataFrame, fn, schema: T.StructType | str, column: str = "text", limit: int = SLICE_CHARS) -> DataFrame:
     """Apply ``fn(part, texts) -> dict of columns`` slice by slice; the result has ``schema``."""
     out = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -49,7 +49,7 @@ def map_texts(df: DataFrame, fn, schema: T.StructType | str, column: str = "text
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in text_slices(batch, column):
+            for part, texts in text_slices(batch, column, limit):
                 made = fn(part, texts)
                 yield pa.RecordBatch.from_arrays([made[f.name] if isinstance(made[f.name], (pa.Array, pa.ChunkedArray)) else pa.array(made[f.name], f.type) for f in arrow], schema=arrow)
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
+from driftwell.llm.jpeg import op10_media
 from driftwell.llm.pii import op5_pii
 
-QUERIES = {"op5_pii": op5_pii}
+QUERIES = {"op5_pii": op5_pii, "op10_media": op10_media}
 ORACLES: dict[str, str] = {}
