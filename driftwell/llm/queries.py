@@ -3,10 +3,17 @@
 from __future__ import annotations
 
 from driftwell.llm import licences, mixing
+from driftwell.llm.html import op1_html
 from driftwell.llm.jpeg import op10_media
 from driftwell.llm.licences import op9_licences
 from driftwell.llm.mixing import op8_mixing
 from driftwell.llm.pii import op5_pii
 
-QUERIES = {"op5_pii": op5_pii, "op10_media": op10_media, "op9_licences": op9_licences, "op8_mixing": op8_mixing}
-ORACLES: dict[str, str] = {"op9_licences": licences.SQL, "op8_mixing": mixing.SQL}
+QUERIES = {
+    "op1_html": op1_html,
+    "op5_pii": op5_pii,
+    "op8_mixing": op8_mixing,
+    "op9_licences": op9_licences,
+    "op10_media": op10_media,
+}
+ORACLES: dict[str, str] = {"op8_mixing": mixing.SQL, "op9_licences": licences.SQL}
