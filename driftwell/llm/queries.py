@@ -7,10 +7,12 @@ from driftwell.llm.html import op1_html
 from driftwell.llm.jpeg import op10_media
 from driftwell.llm.licences import op9_licences
 from driftwell.llm.mixing import op8_mixing
+from driftwell.llm.pieces import op2_pieces
 from driftwell.llm.pii import op5_pii
 
 QUERIES = {
     "op1_html": op1_html,
+    "op2_pieces": op2_pieces,
     "op5_pii": op5_pii,
     "op8_mixing": op8_mixing,
     "op9_licences": op9_licences,
