@@ -31,7 +31,7 @@ from driftwell.llm.common import map_texts, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-CACHE = 250_000  # chunks in each of a cache's two generations
+CACHE = 120_000  # chunks in each of a cache's two generations
 
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
 _UNIGRAM, _BPE = 1, 2
@@ -326,7 +326,7 @@ def encode(docs: DataFrame, model: bytes) -> DataFrame:
         return {"doc_id": part.column("doc_id"), "text": part.column("text"), "ids": _lists([t.encode(x) for x in texts]).cast(pa.list_(pa.int32()))}
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_texts(docs.select("doc_id", "text"), run, f"doc_id {kind}, text string, ids array<int>")
+    return map_texts(docs.select("doc_id", "text"), run, f"doc_id {kind}, text string, ids array<int>", limit=2_000_000)
 
 
 def decode(encoded: DataFrame, model: bytes) -> DataFrame:
@@ -339,7 +339,7 @@ def decode(encoded: DataFrame, model: bytes) -> DataFrame:
         return {"doc_id": part.column("doc_id"), "text": part.column("text"), "ids": ids.cast(pa.list_(pa.int32())), "decoded": [t.decode(flat[a:b]) for a, b in zip(ends, ends[1:])]}
 
     kind = encoded.schema["doc_id"].dataType.simpleString()
-    return map_texts(encoded, run, f"doc_id {kind}, text string, ids array<int>, decoded string")
+    return map_texts(encoded, run, f"doc_id {kind}, text string, ids array<int>, decoded string", limit=2_000_000)
 
 
 def tokenised(docs: DataFrame, path: str = MODEL) -> DataFrame:
