@@ -10,11 +10,13 @@ from driftwell.llm.mixing import op8_mixing
 from driftwell.llm.pieces import op2_pieces
 from driftwell.llm.pii import op5_pii
 from driftwell.llm.quality import op7_quality
+from driftwell.llm.vectors import op6_vectors
 
 QUERIES = {
     "op1_html": op1_html,
     "op2_pieces": op2_pieces,
     "op5_pii": op5_pii,
+    "op6_vectors": op6_vectors,
     "op7_quality": op7_quality,
     "op8_mixing": op8_mixing,
     "op9_licences": op9_licences,
