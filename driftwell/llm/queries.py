@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from driftwell.llm import licences, mixing
+from driftwell.llm import jaccard, licences, mixing
 from driftwell.llm.html import op1_html
+from driftwell.llm.jaccard import op4_jaccard
 from driftwell.llm.jpeg import op10_media
 from driftwell.llm.licences import op9_licences
 from driftwell.llm.mixing import op8_mixing
@@ -15,6 +16,7 @@ from driftwell.llm.vectors import op6_vectors
 QUERIES = {
     "op1_html": op1_html,
     "op2_pieces": op2_pieces,
+    "op4_jaccard": op4_jaccard,
     "op5_pii": op5_pii,
     "op6_vectors": op6_vectors,
     "op7_quality": op7_quality,
@@ -22,4 +24,4 @@ QUERIES = {
     "op9_licences": op9_licences,
     "op10_media": op10_media,
 }
-ORACLES: dict[str, str] = {"op8_mixing": mixing.SQL, "op9_licences": licences.SQL}
+ORACLES: dict[str, str] = {"op4_jaccard": jaccard.SQL, "op8_mixing": mixing.SQL, "op9_licences": licences.SQL}
