@@ -7,6 +7,7 @@ from driftwell.llm.html import op1_html
 from driftwell.llm.jaccard import op4_jaccard
 from driftwell.llm.jpeg import op10_media
 from driftwell.llm.licences import op9_licences
+from driftwell.llm.lm import op3_lm
 from driftwell.llm.mixing import op8_mixing
 from driftwell.llm.pieces import op2_pieces
 from driftwell.llm.pii import op5_pii
@@ -16,6 +17,7 @@ from driftwell.llm.vectors import op6_vectors
 QUERIES = {
     "op1_html": op1_html,
     "op2_pieces": op2_pieces,
+    "op3_lm": op3_lm,
     "op4_jaccard": op4_jaccard,
     "op5_pii": op5_pii,
     "op6_vectors": op6_vectors,
