@@ -25,7 +25,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from driftwell.llm.common import map_texts, table
 
@@ -343,10 +343,23 @@ def decode(encoded: DataFrame, model: bytes) -> DataFrame:
 
 
 def tokenised(docs: DataFrame, path: str = MODEL) -> DataFrame:
-    """doc_id, n_tokens, ids, the decoded text's sha256, and whether it is the text again."""
+    """doc_id, n_tokens, ids, the decoded text's sha256, and whether it is the text again.
+
+    Encodes and then decodes from the ids alone, in one pass over the texts.
+    """
     model = load(path)
-    read = decode(encode(docs, model), model)
-    return read.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2(F.col("decoded"), 256).alias("decoded_sha256"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+
+    def run(part, texts):
+        t = _compiled(model)
+        made = [t.encode(x) for x in texts]
+        read = [t.decode(np.frombuffer(e, "<i4")) for e in made]
+        return {
+            "doc_id": part.column("doc_id"), "n_tokens": [len(e) // 4 for e in made], "ids": _lists(made).cast(pa.list_(pa.int32())),
+            "decoded_sha256": [hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest() for x in read], "round_trip": [a == b for a, b in zip(texts, read)],
+        }
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return map_texts(docs.select("doc_id", "text"), run, f"doc_id {kind}, n_tokens long, ids array<int>, decoded_sha256 string, round_trip boolean", limit=1_000_000)
 
 
 def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
