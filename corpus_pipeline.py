@@ -17,7 +17,8 @@ SMALL = 1_000_000  # rows of two numbers that may be broadcast
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject. It learns from labelled rows of ``docs``."""
     model = quality.learn(docs, table(spark, sf_dir, "labels"))
-    return quality.scored(docs, model, docs.columns).filter(F.col("quality_score") >= quality.THRESHOLD).select(*docs.columns)
+    rated = quality.scored(docs, model, docs.columns)
+    return rated.filter(F.col(rated.columns[-1]) >= quality.THRESHOLD).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ ordered, so a leaf with a third of all rows never meets in one task.
 
 Null languages and sources form nodes of their own, called "unknown". Null and empty texts have
 0 tokens and never exceed a budget. Rows with the same doc_id are separate rows; those with equal
-tokens are interchangeable. Further columns are kept.
+tokens are interchangeable. Further columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -97,12 +97,16 @@ def _ordered(rows: DataFrame, plan: Plan) -> DataFrame:
 
 
 def _labelled(docs: DataFrame) -> DataFrame:
+    """doc_id, the tokens and the leaf of each row, and the whole row as one column, so that no name can clash."""
     source = F.coalesce(F.col("source").cast("string"), F.lit("unknown"))
-    return docs.withColumns({"mix_tokens": tokens(F.col("text")), LEVELS[0]: domain(source), LEVELS[1]: F.coalesce(F.col("lang").cast("string"), F.lit("unknown")), LEVELS[2]: source})
+    return docs.select(
+        F.struct("*").alias("row"), "doc_id", tokens(F.col("text")).alias("mix_tokens"),
+        domain(source).alias(LEVELS[0]), F.coalesce(F.col("lang").cast("string"), F.lit("unknown")).alias(LEVELS[1]), source.alias(LEVELS[2]),
+    )
 
 
 def mix(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
-    """``docs`` with mix_copies (times the row is drawn, from 0) and the columns mix_*."""
+    """row (all columns of ``docs``), mix_domain, mix_lang, mix_source, mix_tokens, and mix_copies: times the row is drawn, from 0."""
     slim, _ = written(_labelled(docs).select("doc_id", "mix_tokens", *LEVELS), "mix-rows")
     leaves = slim.groupBy(*LEVELS).agg(F.count("*").alias("rows"), F.sum("mix_tokens").alias("tokens"))
     shares, _ = written(budgets(leaves, plan).coalesce(1), "mix-budgets")
@@ -113,20 +117,22 @@ def mix(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
     ends, _ = written(shares.join(ends, list(LEVELS), "left").coalesce(1), "mix-ends")
     rows = _ordered(_labelled(docs).join(ends, list(LEVELS)), plan)
     at_end = F.coalesce(F.col("mix_bucket") == F.col("end.mix_bucket"), F.lit(False))
-    clear = rows.filter(~at_end).withColumn("mix_copies", F.col("full_epochs") + F.when(F.col("end").isNull(), (F.col("rest") > 0).cast("long")).otherwise((F.col("mix_bucket") < F.col("end.mix_bucket")).cast("long")))
+    before = F.when(F.col("end").isNull(), F.col("rest") > 0).otherwise(F.col("mix_bucket") < F.col("end.mix_bucket"))
+    clear = rows.filter(~at_end).withColumn("drawn", before)
     run = F.sum("mix_tokens").over(W.partitionBy(*LEVELS).orderBy("mix_key", "mix_tokens").rowsBetween(W.unboundedPreceding, 0))
-    edge = rows.filter(at_end).withColumn("mix_copies", run).withColumn("mix_copies", F.col("full_epochs") + (F.col("mix_copies") <= F.col("end.inside")).cast("long"))
-    return clear.unionByName(edge).drop("n_buckets", "budget", "full_epochs", "rest", "end", "mix_key", "mix_bucket")
+    edge = rows.filter(at_end).withColumn("upto", run).withColumn("drawn", F.col("upto") <= F.col("end.inside")).drop("upto")
+    both = clear.unionByName(edge)
+    return both.select("row", *LEVELS, "mix_tokens", (F.col("full_epochs") + F.coalesce(F.col("drawn"), F.lit(False)).cast("long")).alias("mix_copies"))
 
 
 def drawn(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
     """The rows drawn, each as often as the mix draws it, in the columns of ``docs``."""
-    return mix(docs, plan).filter("mix_copies > 0").withColumn("mix_copies", F.explode(F.expr("sequence(1L, mix_copies)"))).select(*docs.columns)
+    return mix(docs, plan).filter("mix_copies > 0").select("row", F.explode(F.expr("sequence(1L, mix_copies)")).alias("epoch")).select("row.*")
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    return mix(docs).select("doc_id", F.col("mix_domain").alias("domain"), "lang", "source", F.col("mix_tokens").alias("n_tokens"), F.col("mix_copies").alias("copies"))
+    return mix(docs).select("row.doc_id", F.col("mix_domain").alias("domain"), "row.lang", "row.source", F.col("mix_tokens").alias("n_tokens"), F.col("mix_copies").alias("copies"))
 
 
 def _case(column: str, weights: dict) -> str:

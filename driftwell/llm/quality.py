@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from driftwell.llm.common import crc32_mod, map_texts, table
+from driftwell.llm.common import crc32_mod, free, map_texts, table
 
 PASSAGE, PASSAGES = 600, 64
 CHUNK = 2_000_000  # bytes of passages that are counted at once, unless one has more
@@ -163,14 +163,16 @@ def learn(docs: DataFrame, labels: DataFrame, max_docs: int = 2500, seed: int =
 
 
 def scored(docs: DataFrame, model: Attention, keep: list[str]) -> DataFrame:
-    """Columns ``keep`` of ``docs``, and the score of each text as quality_score."""
+    """Columns ``keep`` of ``docs``, and the score of each text as the last column: quality_score, unless that name is taken."""
     from pyspark.sql import types as T
 
+    name = free("quality_score", keep)
+
     def run(part, texts):
-        return {**{c: part.column(c) for c in keep}, "quality_score": model.score(*passages([t.encode("utf-8", "replace") for t in texts])) if texts else []}
+        return {**{c: part.column(c) for c in keep}, name: model.score(*passages([t.encode("utf-8", "replace") for t in texts])) if texts else []}
 
     given = docs.select(*dict.fromkeys([*keep, "text"]))
-    schema = T.StructType([given.schema[c] for c in keep] + [T.StructField("quality_score", T.DoubleType())])
+    schema = T.StructType([given.schema[c] for c in keep] + [T.StructField(name, T.DoubleType())])
     return map_texts(given, run, schema, limit=1_000_000)
 
 
