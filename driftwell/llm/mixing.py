@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 
 from driftwell.llm.common import table, written
 
-BUCKET = 4096
+BUCKET = 256
 LEVELS = ("mix_domain", "mix_lang", "mix_source")
 
 
