@@ -38,8 +38,8 @@ def bands_for(threshold: float, recall: float, max_hashes: int = 160) -> tuple[i
     """Bands and rows that reach the recall at the threshold; of those, the pair that fewest dissimilar texts pass."""
     best = None
     for rows in range(1, 33):
-        miss = 1 - threshold**rows
-        bands = 1 if miss <= 1 - recall else math.ceil(math.log(1 - recall) / math.log(miss))
+        met = threshold**rows  # chance that a band agrees
+        bands = 1 if met >= recall else math.ceil(math.log(1 - recall) / math.log1p(-met))
         if bands * rows <= max_hashes:
             passed = sum(1 - (1 - (s / 100 * threshold) ** rows) ** bands for s in range(100))
             if best is None or passed < best[0]:

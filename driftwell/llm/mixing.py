@@ -65,7 +65,7 @@ def _fill(nodes: DataFrame, parents: list[str], name: str) -> DataFrame:
     full = full.withColumn("full", (F.col("capacity") * F.col("weights") <= F.col("weight") * F.col("before")))
     # the first child that is not filled fixes the rate for itself and all after it
     open_ = W.partitionBy(*parents)
-    rest = F.min(F.when(~F.col("full"), F.col("before"))).over(open_), F.max(F.when(~F.col("full"), F.col("weights"))).over(open_)
+    rest = F.max(F.when(~F.col("full"), F.col("before"))).over(open_), F.max(F.when(~F.col("full"), F.col("weights"))).over(open_)
     given = F.when(F.col("full"), F.col("capacity")).otherwise(F.expr("cast(coalesce(weight * rest_budget div nullif(rest_weight, 0), 0) as decimal(38,0))"))
     return full.withColumn("rest_budget", rest[0].cast("decimal(20,0)")).withColumn("rest_weight", rest[1].cast("decimal(20,0)")).withColumn("weight", F.col("weight").cast("decimal(18,0)")).withColumn("given", given.cast("decimal(38,0)")).drop("before", "weights", "full", "rest_budget", "rest_weight")
 
@@ -146,7 +146,7 @@ def _level(name: str, nodes: str, parents: str, key: str) -> str:
     {name}_1 AS (SELECT *, budget - coalesce(sum(capacity) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
         sum(weight) OVER ({order} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weights FROM {nodes}),
     {name}_2 AS (SELECT *, capacity * weights <= weight * before AS is_full FROM {name}_1),
-    {name}_3 AS (SELECT *, min(CASE WHEN NOT is_full THEN before END) OVER ({by}) AS rest_b, max(CASE WHEN NOT is_full THEN weights END) OVER ({by}) AS rest_w FROM {name}_2),
+    {name}_3 AS (SELECT *, max(CASE WHEN NOT is_full THEN before END) OVER ({by}) AS rest_b, max(CASE WHEN NOT is_full THEN weights END) OVER ({by}) AS rest_w FROM {name}_2),
     {name} AS (SELECT *, CASE WHEN is_full THEN capacity ELSE weight * rest_b // rest_w END AS given FROM {name}_3)"""
 
 

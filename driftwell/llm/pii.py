@@ -170,6 +170,8 @@ def _training_rows(seed: int, count: int) -> tuple[np.ndarray, np.ndarray]:
         (("isbn", "serial no", ""), lambda: f"978-{num(1)}-{num(3)}-{num(5)}-{num(1)}"),
         (("date", "on", "year", "in", ""), lambda: rng.choice((f"{rng.randint(1900, 2030)}-{num(2)}-{num(2)}", f"{num(2)}.{num(2)}.{rng.randint(1900, 2030)}", f"{rng.randint(1900, 2030)}-{rng.randint(1900, 2030)}"))),
         (("price", "total", "about", "", "id", "ref"), lambda: rng.choice((num(10), num(12), f"{num(3)} {num(3)}", f"{num(3)}-{num(2)}", f"{num(2)}/{num(2)}", f"{num(3)} {num(3)} {num(3)}"))),
+        (("host", "server ip", "ip address", ""), lambda: ".".join(map(str, rng.sample((rng.randint(256, 999), *(rng.randint(0, 255) for _ in range(3))), 4)))),
+        (("card", "visa", "credit card", ""), lambda: grouped(next(d for d in iter(lambda: rng.choice("3456") + num(15), "") if not luhn(d)), rng.choice((".", "/", "-", "", " ")))),
         (("at", "time", ""), lambda: ":".join(num(2) for _ in range(rng.randint(4, 5)))),
     )
     rows, marks = [], []
