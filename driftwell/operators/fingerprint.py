@@ -36,17 +36,20 @@ def build(hits: DataFrame, top_k: int, stable_k: int, boundary_k: int, check: bo
     return rows.select("query_id", F.slice("ids", 1, stable_k).alias("stable_neighbors"), F.slice("ids", first, last - first + 1).alias("boundary_candidates"), F.slice("ids", 1, top_k).alias("top_k_ids"))
 
 
-def score_delta(hits: DataFrame, top_k: int, rank_before_k: int, delta: float) -> DataFrame:
+def score_delta(hits: DataFrame, top_k: int, rank_before_k: int, delta: float, check: bool = True) -> DataFrame:
     """Hits (query_id, id, rank, score) whose score is within ``delta`` of the hit with rank ``top_k``.
 
-    Ranks from top_k - rank_before_k on count, without an upper bound. A query without a hit of
-    that rank is an error when its rows are computed; a query without hits has none here either.
+    Ranks from top_k - rank_before_k on count, without an upper bound. With ``check``, a query
+    without a hit of that rank is an error, else it has no rows; without hits there are none.
     """
     checks.require(top_k > 0, "top_k must be above 0")
     checks.require(rank_before_k >= 0, "rank_before_k must not be negative")
     checks.require(delta >= 0, "delta must not be negative")
     order = F.col("input_pos") if "input_pos" in hits.columns else F.col("id")
     cut = hits.filter(F.col("rank") == top_k).groupBy("query_id").agg(F.min_by("score", order).alias("cut"))
-    met = hits.join(cut, "query_id", "left").withColumn("cut", F.when(F.col("cut").isNull(), F.raise_error(F.concat(F.lit("no hit of rank "), F.lit(top_k), F.lit(" in query "), F.col("query_id").cast("string"))).cast("double")).otherwise(F.col("cut")))
+    if check:
+        lost = hits.select("query_id").distinct().join(cut, "query_id", "left_anti").orderBy("query_id").head(1)
+        checks.require(not lost, f"no hit of rank {top_k} in query {lost[0][0]!r}" if lost else "")
     near: Column = F.abs(F.col("score") - F.col("cut")) <= F.lit(delta + TOLERANCE)
-    return met.filter(near & (F.col("rank") >= max(1, top_k - rank_before_k))).select("query_id", "id", "rank", "score")
+    kept = hits.filter(F.col("rank") >= max(1, top_k - rank_before_k)).join(cut, "query_id")
+    return kept.filter(near).select("query_id", "id", "rank", "score")
