@@ -31,7 +31,8 @@ from driftwell.llm.common import map_texts, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-CACHE = 120_000  # chunks in each of a cache's two generations
+CACHE = 250_000  # chunks in each of a cache's two generations
+PAIRS = 1_000_000  # weights of pairs that are kept
 
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
 _UNIGRAM, _BPE = 1, 2
@@ -180,7 +181,7 @@ class Transducer:
     def _stays_apart(self, a: int, b: int) -> bool:
         """The pair acceptor: weight 0 (True) or infinity."""
         left, right = self.spec.pieces[a][0], self.spec.pieces[b][0]
-        if len(self.apart) >= 2 * CACHE:
+        if len(self.apart) >= PAIRS:
             self.apart.clear()
         out = self.apart[a << 32 | b] = self._merge(left + right) == [left, right]
         return out
