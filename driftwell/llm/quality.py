@@ -147,7 +147,9 @@ def fit(x: np.ndarray, counts: np.ndarray, y: np.ndarray, hidden: int = 16, gate
 def learn(docs: DataFrame, labels: DataFrame, max_docs: int = 2500, seed: int = 3) -> Attention:
     """Fit on the bounded sample; only its features reach the driver."""
     own = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (crc32_mod("doc_id", FOLDS) != 0)).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    chosen = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    share = min(1.0, 2 * max_docs / max(own.count(), 1))  # so that few more rows than the sample are sorted
+    chosen = own.filter(place <= int(share * (1 << 30))).orderBy(place, "doc_id").limit(max_docs)
     found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # max_docs rows at most
 
     def run(part, texts):
