@@ -86,3 +86,11 @@ def unique(rows: DataFrame, key: str) -> DataFrame:
     found = duplicates(rows, key).orderBy(key).head(1)
     require(not found, f"duplicate {key} {found[0][key]!r}" if found else "")
     return rows
+
+
+def summary(row: dict) -> dict:
+    """A comparison's row unchanged, once its distances lie in 0..1 and its counts are not negative."""
+    for name, value in row.items():
+        fine = value >= 0 if name.endswith("_count") else 0 <= value <= 1
+        require(fine, f"{name} is {value}")
+    return row

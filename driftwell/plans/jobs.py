@@ -54,7 +54,7 @@ def compare_artifacts(spark: SparkSession, source: str, target: str, folder: str
     checks.require(bool(job_id), "job_id must not be empty")
     checks.require(bool(folder), "the artifact folder must not be empty")
     sides = [artifacts.read_fingerprints(spark, p) for p in (source, target)]
-    summary = compare.compare(*sides).head().asDict()
+    summary = checks.summary(compare.compare(*sides).head().asDict())
     return Outcome(job_id, State.SUCCEEDED, summary, source, target, artifacts.write_result(summary, folder, job_id, spark))
 
 
@@ -81,6 +81,7 @@ class Moved:
 def migrate(source: Collection, target: Collection, dimension: int, batch_size: int = 100) -> Moved:
     """Upsert all rows of ``source`` into ``target`` once they are checked. Spark batches by itself; the size is only checked."""
     checks.require(batch_size > 0, "batch_size must be above 0")
+    source.check()
     rows = checks.records(source.read(), dimension)
     written = target.merge(rows)
     return Moved(dimension, written, written)

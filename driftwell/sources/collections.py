@@ -15,6 +15,8 @@ class Collection(Protocol):
 
     def read(self) -> DataFrame: ...
 
+    def check(self) -> None: ...
+
     def replace(self, records: DataFrame) -> int: ...
 
     def merge(self, records: DataFrame, order: str | None = None) -> int: ...
@@ -29,6 +31,13 @@ class _Stored:
         """Two columns reach the scan."""
         return self._load().select(F.col(self.id_column).alias("id"), vectors.doubles(self.vector_column).alias("vector"))
 
+    def check(self) -> None:
+        """Whether the collection is there and has an id and a vector column."""
+        kinds = dict(self._load().dtypes)
+        for name in (self.id_column, self.vector_column):
+            checks.require(name in kinds, f"the collection has no column {name!r}")
+        checks.require(kinds[self.vector_column] in ("array<float>", "array<double>"), f"column {self.vector_column!r} is not an array of numbers")
+
     def count(self) -> int:
         return self._load().count()
 

@@ -41,6 +41,9 @@ def test_collections(spark, tmp_path, kind):
     store = collections.opened(spark, str(tmp_path / "c") if kind == "path" else "items_test", single_precision=True)
     assert not store.exists()
     assert store.replace(records(spark, ("a", [0.1]), ("b", [2]))) == 2
+    store.check()
+    with pytest.raises(ValueError):
+        type(store)(spark, getattr(store, "path", None) or store.name, vector_column="other").check()
     assert store.merge(records(spark, ("b", [3]), ("c", [4]), ("c", [5])), "ord") == 3
     rows = {r.id: r.vector[0] for r in store.read().collect()}
     assert rows == {"a": pytest.approx(0.1, abs=1e-8), "b": 3.0, "c": 5.0} and rows["a"] != 0.1 and store.count() == 3
@@ -59,3 +62,10 @@ def test_generator(spark):
             datasets.generated(spark, 1, *bad)
     with pytest.raises(ValueError):
         datasets.generated(spark, 1, 2, 3, "ip")
+
+
+def test_summary_ranges():
+    assert checks.summary({"fingerprint_distance": 1.0, "matched_query_count": 3})
+    for bad in ({"fingerprint_distance": 1.1}, {"fingerprint_distance": -0.1}, {"matched_query_count": -1}):
+        with pytest.raises(ValueError):
+            checks.summary(bad)
