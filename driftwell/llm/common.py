@@ -27,6 +27,15 @@ def free(name: str, columns: list[str]) -> str:
     return name
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Hold the session's Arrow batches to a size that leaves executors room: a task has several at a time."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 2000), ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)):
+        now = spark.conf.get(key, None)
+        digits = "".join(c for c in now or "" if c in "-0123456789")
+        if not digits or not 0 < int(digits) <= most:
+            spark.conf.set(key, str(most))
+
+
 def crc32_mod(column: str, modulus: int):
     """crc32 of the column's text, modulo ``modulus``; null counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus
@@ -61,6 +70,7 @@ def map_texts(df: DataFrame, fn, schema: T.StructType | str, column: str = "text
                 made = fn(part, texts)
                 yield pa.RecordBatch.from_arrays([made[f.name] if isinstance(made[f.name], (pa.Array, pa.ChunkedArray)) else pa.array(made[f.name], f.type) for f in arrow], schema=arrow)
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, out)
 
 

@@ -30,7 +30,7 @@ N = 5
 THRESHOLD = 0.8
 RECALL = 0.9995
 BLOCK = 1024
-WORDS = 200_000  # word hashes a task keeps
+WORDS = 100_000  # word hashes a task keeps
 SMALL = 200_000  # rows of (id, key, tasks), some 100 bytes each, that may be broadcast
 
 

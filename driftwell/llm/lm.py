@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from driftwell.llm.common import crc32_mod, map_texts, table, written
+from driftwell.llm.common import crc32_mod, map_texts, small_batches, table, written
 
 END = b""  # no word is empty
 FOLDS, HELD = 7, 2
@@ -72,6 +72,7 @@ def word_counts(docs: DataFrame, groups: int) -> DataFrame:
         if held:
             yield emit()
 
+    small_batches(docs.sparkSession)
     return docs.select("text").mapInArrow(run, "word binary, grp int, n long").groupBy("word", "grp").agg(F.sum("n").alias("n"))
 
 
@@ -111,6 +112,7 @@ def pair_counts(docs: DataFrame, units: list[bytes], groups: int) -> np.ndarray:
         for i in range(0, len(at), 200_000):
             yield pa.RecordBatch.from_arrays([pa.array(at[i : i + 200_000]), pa.array(total[at[i : i + 200_000]])], names=["pair", "n"])
 
+    small_batches(docs.sparkSession)
     found = docs.select("text").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()  # units squared at most
     out = np.zeros(size * size)
     out[found.column("pair").to_numpy()] = found.column("n").to_numpy()

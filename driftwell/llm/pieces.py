@@ -31,8 +31,8 @@ from driftwell.llm.common import map_texts, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-CACHE = 250_000  # chunks in each of a cache's two generations
-PAIRS = 1_000_000  # weights of pairs that are kept
+CACHE = 120_000  # chunks in each of a cache's two generations
+PAIRS = 500_000  # weights of pairs that are kept
 
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
 _UNIGRAM, _BPE = 1, 2
