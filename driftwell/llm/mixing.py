@@ -57,17 +57,22 @@ def _weight(column: str, weights: dict) -> Column:
 
 
 def _fill(nodes: DataFrame, parents: list[str], name: str) -> DataFrame:
-    """Water-filling of column ``budget`` among siblings with ``weight`` and ``capacity``; gives ``given``."""
-    order = W.partitionBy(*parents).orderBy(F.expr("try_divide(cast(capacity as double), cast(weight as double))").asc_nulls_last(), name)
-    earlier, later = order.rowsBetween(W.unboundedPreceding, -1), order.rowsBetween(0, W.unboundedFollowing)
-    left = F.col("budget") - F.coalesce(F.sum("capacity").over(earlier), F.lit(0).cast("decimal(38,0)"))
-    full = nodes.withColumn("before", left.cast("decimal(38,0)")).withColumn("weights", F.sum("weight").over(later).cast("decimal(38,0)"))
-    full = full.withColumn("full", (F.col("capacity") * F.col("weights") <= F.col("weight") * F.col("before")))
-    # the first child that is not filled fixes the rate for itself and all after it
-    open_ = W.partitionBy(*parents)
-    rest = F.max(F.when(~F.col("full"), F.col("before"))).over(open_), F.max(F.when(~F.col("full"), F.col("weights"))).over(open_)
-    given = F.when(F.col("full"), F.col("capacity")).otherwise(F.expr("cast(coalesce(weight * rest_budget div nullif(rest_weight, 0), 0) as decimal(38,0))"))
-    return full.withColumn("rest_budget", rest[0].cast("decimal(20,0)")).withColumn("rest_weight", rest[1].cast("decimal(20,0)")).withColumn("weight", F.col("weight").cast("decimal(18,0)")).withColumn("given", given.cast("decimal(38,0)")).drop("before", "weights", "full", "rest_budget", "rest_weight")
+    """Water-filling of column ``budget`` among siblings with ``weight`` and ``capacity``; gives ``given``.
+
+    In order of capacity for each unit of weight, the children that fill up come first. The first
+    that stays open sees what all open ones share: the budget and the weights from itself on.
+    """
+    big = "decimal(38,0)"
+    siblings = W.partitionBy(*parents)
+    order = siblings.orderBy(F.expr("try_divide(cast(capacity as double), cast(weight as double))").asc_nulls_last(), name)
+    spent = F.coalesce(F.sum("capacity").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0).cast(big))
+    rows = nodes.withColumns({"_left": (F.col("budget") - spent).cast(big), "_weights": F.sum("weight").over(order.rowsBetween(0, W.unboundedFollowing)).cast(big)})
+    rows = rows.withColumn("_full", F.col("capacity") * F.col("_weights") <= F.col("weight") * F.col("_left"))
+    first = {c: F.max(F.when(~F.col("_full"), F.col(c))).over(siblings).cast("decimal(20,0)") for c in ("_left", "_weights")}
+    rows = rows.withColumns({"_open_left": first["_left"], "_open_weights": first["_weights"], "_weight": F.col("weight").cast("decimal(18,0)")})
+    share = F.expr("coalesce(_weight * _open_left div nullif(_open_weights, 0), 0)").cast(big)
+    rows = rows.withColumn("given", F.when(F.col("_full"), F.col("capacity")).otherwise(share).cast(big))
+    return rows.drop("_left", "_weights", "_full", "_open_left", "_open_weights", "_weight")
 
 
 def budgets(leaves: DataFrame, plan: Plan) -> DataFrame:
