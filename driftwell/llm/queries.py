@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from driftwell.llm import jaccard, licences, mixing
+from driftwell.llm import jaccard, licences, mixing, vectors
 from driftwell.llm.html import op1_html
 from driftwell.llm.jaccard import op4_jaccard
 from driftwell.llm.jpeg import op10_media
@@ -26,4 +26,4 @@ QUERIES = {
     "op9_licences": op9_licences,
     "op10_media": op10_media,
 }
-ORACLES: dict[str, str] = {"op4_jaccard": jaccard.SQL, "op8_mixing": mixing.SQL, "op9_licences": licences.SQL}
+ORACLES: dict[str, str] = {"op4_jaccard": jaccard.SQL, "op6_vectors": vectors.SQL, "op8_mixing": mixing.SQL, "op9_licences": licences.SQL}
