@@ -7,27 +7,39 @@ from pyspark.sql import DataFrame, functions as F
 from driftwell.llm.common import drop, written
 
 
-def _large(edges: DataFrame) -> DataFrame:
+def _tied(edges: DataFrame, least: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Each row (u, v) of ``edges`` with the least node m known for u, as edges (v, m).
+
+    ``least`` is written first: with two plain exchanges below it, Spark can split the rows of a
+    hub among tasks, or broadcast the smaller side.
+    """
+    spark = edges.sparkSession
+    known, path = written(least, f"{name}-least")
+    out, out_path = written(edges.join(known, "u").filter("v <> m").select(F.greatest("v", "m").alias("a"), F.least("v", "m").alias("b")).distinct(), f"{name}-edges")
+    drop(spark, path)
+    return out, out_path
+
+
+def _large(edges: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Every neighbour above a node is tied to the least of the node and its neighbours."""
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+    return _tied(both.filter("v > u"), least, name)
 
 
-def _small(edges: DataFrame) -> DataFrame:
+def _small(edges: DataFrame, name: str) -> tuple[DataFrame, str]:
     """A node and its lesser neighbours are tied to the least of them."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    tied = edges.join(least, "a").filter("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return tied.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
+    least = edges.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u")
+    own = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("a").alias("u"), F.col("a").alias("v")).distinct())
+    return _tied(own, least, name)
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:
     """(id, component) for every node of ``edges`` (a, b); the component is its least node.
 
     Edges to itself are ignored, repeated edges and either direction are alike, null ends are
-    dropped. An empty table gives an empty one. Each round is written to the shared folder; the
-    rounds grow with the logarithm of the longest path, not with the size of a component, and a
-    hub's edges are joined to one row, which Spark can split.
+    dropped. An empty table gives an empty one. Each step is written to the shared folder; the
+    rounds grow with the logarithm of the longest path, not with the size of a component.
     """
     spark = edges.sparkSession
     ordered = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
@@ -38,8 +50,10 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         if mark == before or not mark[0]:
             break
         before = mark
-        after, next_path = written(_small(_large(now)), f"{name}-edges")
+        wide, wide_path = _large(now, name)
+        after, next_path = _small(wide, name)
         drop(spark, path)
+        drop(spark, wide_path)
         now, path = after, next_path
     return now.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
 
