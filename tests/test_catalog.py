@@ -30,3 +30,10 @@ def test_rows_equal_the_sql(spark, duck, name):
     assert sorted(names) == columns
     want = sorted((tuple(r[names.index(c)] for c in columns) for r in relation.fetchall()), key=repr)
     assert sorted((tuple(r[c] for c in columns) for r in frame.collect()), key=repr) == want and want
+
+
+def test_scans_are_pruned(spark):
+    plan = catalog._queries(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "LessThan(vec_id,20)" in plan and "label" not in plan.split("ReadSchema")[1]
+    plan = catalog.QUERIES["ranking_drift_nation"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "o_orderdate" not in plan and "c_mktsegment" not in plan
