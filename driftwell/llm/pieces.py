@@ -31,7 +31,8 @@ from driftwell.llm.common import map_texts, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-CACHE = 120_000  # chunks in each of a cache's two generations
+CACHE = 150_000  # chunks in each of a cache's two generations
+DOOR = 1 << 21  # marks for chunks met once, a power of two
 PAIRS = 500_000  # weights of pairs that are kept
 
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
@@ -103,18 +104,25 @@ def read_model(data: bytes) -> Spec:
 
 
 class Paths(dict):
-    """Shortest paths of ``lead`` and a chunk. Two generations bound it: a full one ages, the aged one goes."""
+    """Shortest paths of ``lead`` and a chunk. Two generations bound it: a full one ages, the aged one goes.
+
+    A chunk is kept from its second miss on, so that those that occur once take no room.
+    """
 
     def __init__(self, machine: Transducer, lead: str):
-        self.machine, self.lead, self.old = machine, lead, {}
+        self.machine, self.lead, self.old, self.met = machine, lead, {}, bytearray(DOOR)
 
     def __missing__(self, chunk: str) -> bytes:
         got = self.old.get(chunk)
         if got is None:
             got = self.machine.shortest_path(self.lead + chunk)
+            place = hash(chunk) & (DOOR - 1)
+            if not self.met[place]:
+                self.met[place] = 1
+                return got
         if len(chunk) <= 64:
             if len(self) >= CACHE:
-                self.old = dict(self)
+                self.old, self.met = dict(self), bytearray(DOOR)
                 self.clear()
             self[chunk] = got
         return got
@@ -141,6 +149,15 @@ class Transducer:
         chars = {c for p, _ in real for c in p}
         if s.kind == _BPE and any(self.arcs.get(c, -1) < 0 for c in chars):
             raise ValueError("a merge model must hold each character of its pieces")
+        self.size, self.codes = len(s.pieces), [i.to_bytes(4, "little") for i in range(len(s.pieces))]
+        self.trie: dict = {}  # character -> (id of the piece that ends here or -1, the steps from here)
+        for p, i in real:
+            node, last = self.trie, None
+            for c in p:
+                if c not in node:
+                    node[c] = (-1, {})
+                last, node = node, node[c][1]
+            last[p[-1]] = (i, node)
         self.splits = not any(SPACE in p.lstrip(SPACE) for p, _ in real)
         self.line_ends = "\n" not in chars
         self.least = min((self.scores[i] for _, i in real), default=0.0) - 10.0  # an unknown character's score
@@ -183,7 +200,7 @@ class Transducer:
         left, right = self.spec.pieces[a][0], self.spec.pieces[b][0]
         if len(self.apart) >= PAIRS:
             self.apart.clear()
-        out = self.apart[a << 32 | b] = self._merge(left + right) == [left, right]
+        out = self.apart[a * self.size + b] = self._merge(left + right) == [left, right]
         return out
 
     def shortest_path(self, chunk: str) -> bytes:
@@ -195,20 +212,21 @@ class Transducer:
 
         Only one finite path leads to any position, so one from which the search came back is dead.
         """
-        arcs, apart, n = self.arcs, self.apart, len(chunk)
+        root, apart, size, n = self.trie, self.apart, self.size, len(chunk)
         dead: set[int] = set()
-        path: list[tuple[int, int, list[int]]] = []  # start, piece (-1: fallback), shorter pieces left to try
+        path: list[tuple[int, int, list]] = []  # start, piece (-1: fallback), shorter pieces left to try
         j, a, todo = 0, -1, None
         while j < n:
             if todo is None:
-                todo, k = [], j + 1
-                while k <= n:
-                    b = arcs.get(chunk[j:k])
-                    if b is None:
+                todo, k, node = [], j, root
+                while k < n:
+                    step = node.get(chunk[k])
+                    if step is None:
                         break
+                    k += 1
+                    b, node = step
                     if b >= 0:
                         todo.append((k, b))
-                    k += 1
                 if not todo or todo[0][0] > j + 1:
                     todo = [(j + 1, -1)]
             while todo:
@@ -217,7 +235,7 @@ class Transducer:
                     continue
                 if b >= 0:
                     if a >= 0:
-                        ok = apart.get(a << 32 | b)
+                        ok = apart.get(a * size + b)
                         if ok is None:
                             ok = self._stays_apart(a, b)
                     else:
@@ -233,7 +251,8 @@ class Transducer:
                     raise ValueError("no finite path")
                 j, _, todo = path.pop()
                 a = path[-1][1] if path else -1
-        return b"".join([b.to_bytes(4, "little") if b >= 0 else self._fallback(chunk[j]) for j, b, _ in path])
+        codes = self.codes
+        return b"".join([codes[b] if b >= 0 else self._fallback(chunk[j]) for j, b, _ in path])
 
     def _whole(self, piece: int) -> bool:
         """Whether merging ever builds this piece from its characters."""
