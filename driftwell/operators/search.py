@@ -79,11 +79,11 @@ def exact_knn(queries: DataFrame, corpus: DataFrame, metric: str, expand_k: int,
     checks.search_options(expand_k if top_k is None else top_k, expand_k)
     corpus = corpus.select("id", "vector")
     queries = queries.select(F.col("id").alias("query_id"), vectors.doubles("vector").alias("query_vector"))
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    head = queries.limit(QUERY_BLOCK + 1).collect()  # one job where a block holds all queries
+    blocks = 1 if len(head) <= QUERY_BLOCK else -(-queries.count() // QUERY_BLOCK)
     parts = []
     for i in range(blocks):
-        own = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
-        rows = own.collect()  # about QUERY_BLOCK rows
+        rows = head if blocks == 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).collect()  # about QUERY_BLOCK rows
         sizes = {len(r["query_vector"] or ()) for r in rows}
         checks.require(len(sizes) <= 1 and 0 not in sizes, "query vectors must be non-empty and of one dimension")
         if rows:
