@@ -29,7 +29,7 @@ from driftwell.llm.components import Forest, components
 N = 5
 THRESHOLD = 0.8
 RECALL = 0.9995
-BLOCK = 1024
+BLOCK = 256
 WORDS = 100_000  # word hashes a task keeps
 SMALL = 200_000  # rows of (id, key, tasks), some 100 bytes each, that may be broadcast
 
