@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import sys
 
+from pyspark.errors import PySparkException
 from pyspark.sql import SparkSession, functions as F
 
 from driftwell.operators import search
@@ -90,8 +91,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     spark = spark or SparkSession.builder.appName("driftwell").getOrCreate()
     try:
         lines = run(spark, args)
-    except ValueError as error:
-        print(f"{args.command}: {error}", file=sys.stderr)
+    except (ValueError, PySparkException) as error:
+        print(f"{args.command}: {str(error).splitlines()[0]}", file=sys.stderr)
         return 1
     print(f"{args.command} completed")
     for name, value in lines:

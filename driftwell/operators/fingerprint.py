@@ -21,10 +21,12 @@ def window_bounds(top_k: int, boundary_k: int) -> tuple[int, int]:
     return max(top_k - boundary_k, 0) + 1, top_k + boundary_k
 
 
-def build(hits: DataFrame, top_k: int, stable_k: int, boundary_k: int, check: bool = True) -> DataFrame:
+def build(hits: DataFrame, top_k: int, stable_k: int, boundary_k: int, check: bool = True, guard: bool = False) -> DataFrame:
     """(query_id, stable_neighbors, boundary_candidates, top_k_ids), by place and not by rank value.
 
-    With ``check``, a query with fewer than ``top_k`` hits, an empty id or a rank below 1 is an error.
+    With ``check``, a query with fewer than ``top_k`` hits, an empty id or a rank below 1 is an error
+    at once, which runs the plan of ``hits`` one time more. With ``guard``, for hits of a search, too
+    few hits or an empty id fail when the query's row is computed.
     Each query keeps top_k + boundary_k places at most before its ids are gathered.
     """
     checks.fingerprint_options(top_k, stable_k, boundary_k)
@@ -33,6 +35,10 @@ def build(hits: DataFrame, top_k: int, stable_k: int, boundary_k: int, check: bo
     first, last = window_bounds(top_k, boundary_k)
     ids = F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda x: x["id"])
     rows = positions(hits, last).groupBy("query_id").agg(ids.alias("ids"))
+    if guard:
+        blank = F.exists("ids", lambda x: x.isNull() | (x.cast("string") == ""))
+        fault = F.raise_error(F.concat(F.lit("query "), F.col("query_id").cast("string"), F.lit(f" has fewer than {top_k} hits or one without id")))
+        rows = rows.withColumn("ids", F.when((F.size("ids") < top_k) | blank, fault.cast(rows.schema["ids"].dataType)).otherwise(F.col("ids")))
     return rows.select("query_id", F.slice("ids", 1, stable_k).alias("stable_neighbors"), F.slice("ids", first, last - first + 1).alias("boundary_candidates"), F.slice("ids", 1, top_k).alias("top_k_ids"))
 
 

@@ -55,7 +55,7 @@ def _single(spark, sf_dir):
 
 def _prints(spark, sf_dir, coarse: bool = False, metric: str = "cosine", below: int = NQ, corpus: DataFrame | None = None) -> DataFrame:
     rows = _corpus(spark, sf_dir) if corpus is None else corpus
-    return jobs.fingerprints(_queries(spark, sf_dir, below), _coarse(rows) if coarse else rows, jobs.Settings(TOP, EXPAND, STABLE, BOUND, metric), check=False)
+    return jobs.fingerprints(_queries(spark, sf_dir, below), _coarse(rows) if coarse else rows, jobs.Settings(TOP, EXPAND, STABLE, BOUND, metric), guard=False)
 
 
 def _listed(column: str):

@@ -36,11 +36,11 @@ class Settings:
         return self
 
 
-def fingerprints(queries: DataFrame, corpus: DataFrame, s: Settings, check: bool = True) -> DataFrame:
-    """Search and fingerprint of all queries in one plan."""
+def fingerprints(queries: DataFrame, corpus: DataFrame, s: Settings, guard: bool = True) -> DataFrame:
+    """Search and fingerprint of all queries in one plan; with ``guard``, too few hits are an error when it runs."""
     s.checked()
     hits = search.exact_knn(queries, corpus, s.metric, s.expand_k, s.top_k)
-    return fingerprint.build(hits, s.top_k, s.stable_k, s.boundary_k, check=check)
+    return fingerprint.build(hits, s.top_k, s.stable_k, s.boundary_k, check=False, guard=guard)
 
 
 def drift(queries: DataFrame, source: DataFrame, target: DataFrame, s: Settings, target_metric: str | None = None, weights: dict[str, float] | None = None) -> DataFrame:

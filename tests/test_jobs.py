@@ -58,6 +58,8 @@ def test_migrate_and_verify(spark, tmp_path):
     assert o.summary["consistency_score"] == 1 and o.summary["matched_query_count"] == 10 and o.state.terminal
     with pytest.raises(ValueError):
         jobs.migrate(source, target, 9)
+    with pytest.raises(Exception, match="fewer than 3 hits"):
+        jobs.fingerprints(queries, source.read().limit(2), jobs.Settings()).collect()
     # on unit vectors both metrics rank alike
     same = jobs.drift(queries, source.read(), target.read(), jobs.Settings(), target_metric="l2").head()
     assert same["fingerprint_distance"] == 0
