@@ -31,7 +31,7 @@ THRESHOLD = 0.8
 RECALL = 0.9995
 BLOCK = 256
 WORDS = 100_000  # word hashes a task keeps
-SMALL = 200_000  # rows of (id, key, tasks), some 100 bytes each, that may be broadcast
+SMALL = 200_000  # tasks over all rows of (id, key, tasks), some 150 bytes each with their row, that may be broadcast
 
 
 def bands_for(threshold: float, recall: float, max_hashes: int = 160) -> tuple[int, int]:
@@ -196,8 +196,8 @@ def links(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL,
     wanted, _ = written(classes.drop("bands").join(candidates, "id").select("id", "set_key", F.col("component").alias("grp"), "times"), "jaccard-wanted")
     tasks = dealt(wanted, BLOCK).groupBy("id", "set_key", "times").agg(F.collect_list(F.struct("task", "side")).alias("tasks"))  # one for each block of the group
     tasks, _ = written(tasks.withColumnRenamed("id", "doc_id"), "jaccard-tasks")
-    if tasks.count() <= SMALL:  # a checked size: beyond it the join shuffles
-        tasks = F.broadcast(tasks)
+    total = tasks.agg(F.sum(F.size("tasks"))).first()[0] or 0  # a row has one for each block of its group
+    tasks = F.broadcast(tasks) if total <= SMALL else tasks.hint("merge")  # files are smaller than rows: no choice by their size
     sets = _sets(docs.join(tasks, "doc_id").withColumnRenamed("doc_id", "id"), n)
     sets = sets.select("id", "times", "grams", F.explode("tasks").alias("t")).select("id", "times", "grams", "t.task", "t.side")
     found, _ = written(per_task(sets, _verify(threshold), "id long, n long, to long"), "jaccard-links")

@@ -60,3 +60,18 @@ def test_empty_table_and_missing_ids(spark):
     assert jaccard.links(docs.limit(0)).count() == 0
     lost = jaccard.links(documents(spark, [(None, "a b c d e f g"), (2, "a b c d e f g")])).collect()
     assert sorted((r.doc_id is None, r.class_id) for r in lost)[0] == (False, 2)
+
+
+def test_many_tasks_of_few_rows_are_not_broadcast(spark, monkeypatch):
+    base = [f"w{i}" for i in range(100)]
+    docs = documents(spark, [(i, " ".join([*base, f"own{i}"])) for i in range(60)])
+    want = sorted((r.doc_id, r.class_id, r.n_links) for r in jaccard.links(docs).collect())
+    monkeypatch.setattr(jaccard, "BLOCK", 4)  # 60 rows, 15 tasks each
+    monkeypatch.setattr(jaccard, "SMALL", 500)
+
+    def refuse(frame):
+        raise AssertionError("broadcast")
+
+    monkeypatch.setattr(jaccard.F, "broadcast", refuse)
+    assert sorted((r.doc_id, r.class_id, r.n_links) for r in jaccard.links(docs).collect()) == want
+    assert want[5] == (5, 0, 59)
