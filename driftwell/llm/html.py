@@ -32,9 +32,9 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 UNSEEN = frozenset("head script style title template iframe noembed noframes object audio video canvas datalist base link meta".split())
 HEAD_ONLY = frozenset("base link meta title style script template noscript".split())
-BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table ul caption tr thead tbody tfoot td th".split())
-APART = frozenset("p h1 h2 h3 h4 h5 h6 ul ol menu dir dl table pre blockquote figure fieldset hr".split())
-ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul".split())
+BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table ul caption tr thead tbody tfoot td th xmp".split())
+APART = frozenset("p h1 h2 h3 h4 h5 h6 ul ol menu dir dl table pre blockquote figure fieldset hr xmp".split())
+ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul xmp".split())
 #: A start tag ends these open elements, up to one of the bounds.
 ENDS = {
     "li": (("li",), frozenset(("ul", "ol", "menu", "dir"))),
@@ -124,6 +124,8 @@ def parse(page: str) -> tuple[Node, str]:
             body = page[at : end.start()] if end else page[at:]
             if tag == "textarea":
                 node.children.append(unescape(body))
+            elif tag == "xmp":
+                node.children.append(body)  # entities stand as they are
             elif tag == "style":
                 styles.append(body)
             if not end:
@@ -352,7 +354,7 @@ def _enter(node: Node, flows: list[Flow]) -> None:
         flow.block(True)
     else:
         flow.block(tag in APART)
-        if tag in ("pre", "textarea"):
+        if tag in ("pre", "textarea", "xmp"):
             flow.pre += 1
 
 
@@ -385,7 +387,7 @@ def _leave(node: Node, flows: list[Flow]) -> None:
         flow.block(tag in APART and not (tag in ("ul", "ol", "menu", "dir") and flow.kind == "li"))
         return
     flow = flows[-1]
-    if tag in ("pre", "textarea"):
+    if tag in ("pre", "textarea", "xmp"):
         flow.flush()
         flow.pre -= 1
     flow.block(tag in APART)

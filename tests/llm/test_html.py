@@ -45,3 +45,8 @@ def test_table(spark):
     got = sorted(html.extract(rows.withColumn("text", rows.url)).collect(), key=str)
     assert sorted((r.page_id is None, r.text) for r in got) == [(False, ""), (False, ""), (False, "a"), (True, "")]
     assert html.extract(rows.limit(0)).count() == 0
+
+
+def test_xmp_shows_its_source():
+    assert html.render("<p>a<xmp>  <b>x</b> &amp;\n y</xmp>z") == "a\n\n  <b>x</b> &amp;\n y\n\nz"
+    assert html.render("<div hidden><xmp>no</xmp></div><xmp>open") == "open"
