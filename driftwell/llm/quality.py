@@ -7,7 +7,7 @@ logistic unit scores the weighted sum. Only documents are labelled; numpy and Ad
 parts together on the driver.
 
 The labelled rows learned from are a bounded sample: those of the training fold with the
-smallest hashes of doc_id, ``max_docs`` at most. Every text is scored, and whole.
+smallest hashes of doc_id, ``max_docs`` at most; of rows that share an id, the least text. Every text is scored, and whole.
 
 Null texts count as empty; an empty text is one passage without content and gets a score like
 any other. Label rows that are null or lack a document are ignored; without two classes to learn
@@ -150,7 +150,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_docs: int = 2500, seed: int =
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
     share = min(1.0, 2 * max_docs / max(own.count(), 1))  # so that few more rows than the sample are sorted
     chosen = own.filter(place <= int(share * (1 << 30))).orderBy(place, "doc_id").limit(max_docs)
-    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # max_docs rows at most
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))  # one row for each id: max_docs at most
 
     def run(part, texts):
         x, counts = passages([t.encode("utf-8", "replace") for t in texts])
@@ -159,7 +159,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_docs: int = 2500, seed: int =
 
     kinds = {f.name: f.dataType.simpleString() for f in found.schema}
     rows = map_texts(found, run, f"doc_id {kinds['doc_id']}, quality {kinds['quality']}, features binary", limit=1_000_000).collect()
-    rows = sorted(rows, key=lambda r: (r["doc_id"], bytes(r["features"])))[: 2 * max_docs]
+    rows = sorted(rows, key=lambda r: (r["doc_id"], bytes(r["features"])))
     bags = [np.frombuffer(r["features"], "<f4").reshape(-1, WIDTH).astype(np.float64) for r in rows]
     return fit(np.concatenate(bags) if bags else np.zeros((0, WIDTH)), np.array([len(b) for b in bags]), np.array([float(r["quality"]) for r in rows]), seed=seed)
 

@@ -56,3 +56,10 @@ def test_cutting_into_chunks_changes_nothing(monkeypatch):
     monkeypatch.setattr(quality, "CHUNK", 700)
     parts, again = quality.passages(texts)
     assert np.allclose(whole, parts) and (counts == again).all()
+
+
+def test_repeated_rows_do_not_push_others_out(spark):
+    ids = [i for i in range(30) if zlib.crc32(str(i).encode()) % 5][:10]
+    labels = spark.createDataFrame([(i, int(k == 0)) for k, i in enumerate(ids)], "doc_id long, quality int")
+    docs = documents(spark, [(i, f"text {i}") for i in ids] + [(ids[0], f"text {ids[0]}")] * 45)
+    assert quality.learn(docs, labels, max_docs=20).prior is None
