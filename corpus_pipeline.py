@@ -22,12 +22,16 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of n-gram Jaccard links: that with the least doc_id."""
+    """One document of each group of n-gram Jaccard links: that with the least doc_id.
+
+    Documents without an id are in no group; each stays. Where rows of one doc_id hold different
+    texts, one row stays if several are the least of their groups, and all if just one is.
+    """
     kept, _ = written(jaccard.links(docs).filter("kept").groupBy("doc_id").agg(F.count("*").alias("times")), "kept-ids")
     small = F.broadcast if kept.count() <= SMALL else lambda x: x  # a checked size: beyond it the join shuffles
     once = docs.join(small(kept.filter("times = 1")), "doc_id", "left_semi")
     repeated = docs.join(small(kept.filter("times > 1")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(repeated).select(*docs.columns)
+    return once.unionByName(repeated).unionByName(docs.filter("doc_id is null")).select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

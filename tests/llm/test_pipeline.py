@@ -35,3 +35,9 @@ def test_stages(spark, tmp_path):
         now = out.cache()
     final = {r.doc_id: r.n_tokens for r in corpus_pipeline.run(spark, sf).collect()}
     assert final == {r.doc_id: r.n_tokens for r in now.collect()}
+
+
+def test_documents_without_an_id_stay(spark, tmp_path):
+    docs = documents(spark, [(None, "a b c d e f g"), (None, "h i j k l m n"), (1, "o p q r s t u"), (2, "o p q r s t u")])
+    kept = corpus_pipeline.near_duplicates(spark, docs, str(tmp_path)).collect()
+    assert sorted(r.text[0] for r in kept) == ["a", "h", "o"] and {r.doc_id for r in kept} == {None, 1}
