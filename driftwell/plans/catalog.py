@@ -193,7 +193,7 @@ def _single_precision(spark, sf_dir):
 
 
 def _synthetic(spark, sf_dir):
-    """Seed 42; as many rows as the table has nations times 40."""
+    """Seed 42; 1000 rows at every table size, as the SQL states."""
     rows = datasets.generated(spark, 42, 8, 1000, "l2")
     return rows.select("id", F.posexplode("vector").alias("axis", "x")).select("id", F.col("axis").cast("long").alias("axis"), F.round("x", 6).alias("x"))
 
