@@ -14,11 +14,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from driftwell.llm.common import spread_join
+
 
 def dealt(members: DataFrame, block: int) -> DataFrame:
     """``members`` (grp, id, ...) with task, and side: 0 whole block, 1 and 2 the two blocks of a pair."""
     sizes = members.groupBy("grp").agg(F.count("*").alias("grp_rows"))
-    sized = members.join(sizes, "grp").withColumn("grp_blocks", F.expr(f"cast(ceil(grp_rows / {block}) as int)"))
+    sized = spread_join(members, sizes, "grp", "grp_rows", members.count()).withColumn("grp_blocks", F.expr(f"cast(ceil(grp_rows / {block}) as int)"))
     placed = sized.withColumn("blk", F.pmod(F.xxhash64("id", F.lit(5)), F.col("grp_blocks").cast("long")).cast("int"))
     pairs = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("grp_blocks") - 1)))
     task = F.concat_ws("-", F.col("grp").cast("string"), F.least("blk", "other"), F.greatest("blk", "other"))
@@ -26,8 +28,8 @@ def dealt(members: DataFrame, block: int) -> DataFrame:
     return pairs.select(*members.columns, task.alias("task"), side.alias("side"))
 
 
-def per_task(rows: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
-    """Apply ``fn`` to all rows of each task, in order of side and id; one task is held at a time."""
+def per_task(rows: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str, order: tuple[str, ...] = ("side", "id")) -> DataFrame:
+    """Apply ``fn`` to all rows of each task, in the order given; one task is held at a time."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     out = T.StructType.fromDDL(schema)
@@ -43,12 +45,12 @@ def per_task(rows: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str)
             made = fn(pa.concat_batches(held) if len(held) > 1 else held[0])
             held.clear()
             for name in ready:
-                ready[name].append(np.asarray(made[name]))
+                ready[name].append(pa.array(made[name], arrow.field(name).type))
             waiting += len(made[arrow.names[0]])
 
         def emit() -> pa.RecordBatch:
             nonlocal waiting
-            made = pa.RecordBatch.from_arrays([pa.array(np.concatenate(ready[f.name]), f.type) for f in arrow], schema=arrow)
+            made = pa.RecordBatch.from_arrays([pa.concat_arrays(ready[f.name]) for f in arrow], schema=arrow)
             for name in ready:
                 ready[name] = []
             waiting = 0
@@ -73,4 +75,4 @@ def per_task(rows: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str)
         if waiting:
             yield emit()
 
-    return rows.repartition("task").sortWithinPartitions("task", "side", "id").mapInArrow(run, out)
+    return rows.repartition("task").sortWithinPartitions("task", *order).mapInArrow(run, out)

@@ -75,13 +75,15 @@ def map_texts(df: DataFrame, fn, schema: T.StructType | str, column: str = "text
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Set here only where the session has none (tests)."""
+    """The folder that driver and executors share. Set here only where the session has none and all tasks run on this machine."""
     conf = spark.sparkContext.getConf()
     found = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         existing = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = existing.get() if existing.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = f"file://{os.path.join(tempfile.gettempdir(), 'driftwell-checkpoints')}"
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -105,3 +107,38 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
 def drop(spark: SparkSession, path: str) -> None:
     jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jpath, True)
+
+
+class Scratch:
+    """Written tables of one job. On leaving, those that its lazy result does not read are removed."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def write(self, df: DataFrame, name: str, read_later: bool = False) -> DataFrame:
+        out, path = written(df, name)
+        self.paths[path] = read_later
+        return out
+
+    def __exit__(self, *failed) -> None:
+        for path, read_later in self.paths.items():
+            if failed[0] or not read_later:
+                drop(self.spark, path)
+
+
+def spread_join(rows: DataFrame, known: DataFrame, key: str, weight: str, total: int) -> DataFrame:
+    """``rows`` left-joined with ``known`` (one row for each ``key``), without one task that gets all rows of a key.
+
+    ``weight`` says how many of ``total`` rows have the key. Keys with more than a 64th of them are
+    64 at most: they are broadcast, and their rows stay where they are. Null keys are not joined.
+    """
+    more = [c for c in known.columns if c != key]
+    hot = known.filter(F.col(weight) * 64 > total)
+    marked = rows.filter(F.col(key).isNotNull()).join(F.broadcast(hot.withColumn("_hot", F.lit(True))), key, "left")  # 64 rows at most
+    cold = marked.filter("_hot is null").select(*rows.columns).join(known.filter(F.col(weight) * 64 <= total), key, "left")
+    none = rows.filter(F.col(key).isNull()).select(*rows.columns, *(F.lit(None).cast(known.schema[c].dataType).alias(c) for c in more))
+    order = [*rows.columns, *more]
+    return marked.filter("_hot").select(*order).unionByName(cold.select(*order)).unionByName(none.select(*order))
