@@ -5,15 +5,20 @@ list item where the next begins, rows and cells likewise), ignores stray end tag
 text. Scripts, styles, heads, templates, closed details, elements hidden by attribute, by style
 or by a simple rule of a style sheet (tag, .class, #id) are not seen; visibility can be turned
 on again inside. Text is emitted whole: blocks on lines of their own, paragraphs set apart by a
-blank line, list items marked and indented, cells of a table aligned in columns. Columns wider
-than WIDE are not padded, so the text grows no faster than the page.
-
-Null and empty pages give the empty text. Neither builder nor renderer recurses, so nesting has
-no limit; repeated rows give repeated results.
+blank line, list items marked and indented, cells of a table aligned in columns. Words are never
+cut, but layout is: indentation ends at INDENT characters, columns wider than WIDE are not padded,
+tables more than TABLES deep are laid out as blocks, and a table that needs much more padding
+than it has text has its cells parted by two spaces. So the text stays within a small multiple of
+the page.
+
+Null and empty pages give the empty text. The scanner only moves forward, and neither builder nor
+renderer recurses, so no page takes time beyond its length and nesting has no limit. A tag that
+never ends is text. Repeated rows give repeated results; other columns are not read.
 """
 
 from __future__ import annotations
 
+import bisect
 import re
 from html import unescape
 
@@ -22,11 +27,18 @@ from pyspark.sql import DataFrame, SparkSession
 from driftwell.llm.common import map_texts, table
 
 WIDE = 60
-
-_TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"'=]|=\s*\"[^\"]*\"|=\s*'[^']*'|[=\"'])*)>|<[!?/][^>]*>", re.S)
-_ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-_RULE = re.compile(r"([^{}]*)\{([^{}]*)\}")
-_NONE, _HIDDEN, _SHOWN = (re.compile(p) for p in (r"display\s*:\s*none", r"visibility\s*:\s*(?:hidden|collapse)", r"visibility\s*:\s*visible"))
+INDENT = 24
+TABLES = 8
+PADDING = (4, 2000)  # spaces for each character of a table, and spaces that any table may have
+
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
+_ATTR = re.compile(r"[^\s\"'>/=]++")
+_SPACE = re.compile(r"\s*+")
+_BARE = re.compile(r"[^\s\"'>]++")
+_STOP = re.compile(r"[=>]")
+_COMMENT = re.compile(r"--!?>")
+_SELECTOR = re.compile(r"[.#]?[\w-]+")
+_NONE, _HIDDEN, _SHOWN = (re.compile(p) for p in (r"display\s*+:\s*+none", r"visibility\s*+:\s*+(?:hidden|collapse)", r"visibility\s*+:\s*+visible"))
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -53,57 +65,124 @@ class Node:
         self.tag, self.attrs, self.children = tag, attrs, []
 
 
+class _Scanner:
+    """Finds tags from left to right; what one search learns about where tags cannot end serves all later ones."""
+
+    def __init__(self, page: str):
+        self.page, self.dead = page, set()  # signs = outside quotes from which no tag ends
+        self.run = (0, -1)  # the place of the next = or > for all places in this run
+        self.last = {c: page.rfind(c) for c in "\"'>"}
+
+    def stop(self, at: int) -> int:
+        a, b = self.run
+        if not a <= at <= b:
+            m = _STOP.search(self.page, at)
+            self.run = at, m.start() if m else len(self.page)
+        return self.run[1]
+
+    def end(self, at: int) -> int:
+        """The > that ends a tag whose attributes begin at ``at``, or -1. Only after = does a quote hide it."""
+        page, size, went = self.page, len(self.page), []
+        while (at := self.stop(at)) < size and at not in self.dead:
+            if page[at] == ">":
+                return at
+            went.append(at)
+            at = _SPACE.match(page, at + 1).end()
+            if at < size and page[at] in "\"'" and self.last[page[at]] > at:
+                at = page.find(page[at], at + 1) + 1
+        self.dead.update(went)
+        return -1
+
+    def next(self, at: int) -> tuple[int, int, str, bool, int] | None:
+        """The next tag or comment: its start and end, the tag's name (none for a comment), whether it closes, where attributes begin."""
+        page = self.page
+        while (at := page.find("<", at)) >= 0:
+            if page.startswith("<!--", at):
+                if page.startswith((">", "->"), at + 4):
+                    return at, page.find(">", at) + 1, "", False, 0
+                m = _COMMENT.search(page, at + 4)
+                return at, m.end() if m else len(page), "", False, 0
+            if at >= self.last[">"]:
+                return None
+            closes = page.startswith("/", at + 1)
+            name = _NAME.match(page, at + 1 + closes)
+            if name:
+                if (end := self.end(name.end())) >= 0:
+                    return at, end + 1, name[0], closes, name.end()
+            elif page[at + 1] in "!?/":
+                return at, page.find(">", at) + 1, "", False, 0
+            at += 1
+        return None
+
+    def attributes(self, at: int, end: int) -> dict[str, str]:
+        page, found = self.page, {}
+        while at < end:
+            m = _ATTR.match(page, at, end)
+            if not m:
+                at += 1
+                continue
+            name, value = m[0].lower(), ""
+            at = _SPACE.match(page, m.end(), end).end()
+            if at < end and page[at] == "=":
+                at = _SPACE.match(page, at + 1, end).end()
+                close = page.find(page[at], at + 1, end) if at < end and page[at] in "\"'" else -1
+                if close >= 0:
+                    value, at = page[at + 1 : close], close + 1
+                elif m := _BARE.match(page, at, end):
+                    value, at = m[0], m.end()
+            found[name] = value
+        return found
+
+
 def parse(page: str) -> tuple[Node, str]:
     """The tree under a root, whose leaves are strings, and the text of all style sheets."""
     root = Node("html", {})
-    stack, names, styles = [root], {"html": 1}, []
+    stack, depths, styles = [root], {"html": [0]}, []  # for each tag the depths at which it is open
+    scanner = _Scanner(page)
     at, size = 0, len(page)
 
     def close(depth: int) -> None:
         while len(stack) > depth:
-            names[stack.pop().tag] -= 1
+            depths[stack.pop().tag].pop()
+
+    def innermost(tags) -> int:
+        return max((d[-1] for t in tags if (d := depths.get(t))), default=0)
 
     def last(tags, bounds) -> int:
-        """Depth of the innermost open element among ``tags``, 0 if a bound comes first."""
-        if not any(names.get(t) for t in tags):
-            return 0
-        for depth in range(len(stack) - 1, 0, -1):
-            tag = stack[depth].tag
-            if tag in tags:
-                return depth
-            if tag in bounds:
-                return 0
-        return 0
+        """Depth of the innermost open element among ``tags``, 0 if a bound is further in."""
+        depth = innermost(tags)
+        return depth if depth and depth >= innermost(bounds) else 0
 
     while at < size:
-        m = _next(page, at)
+        m = scanner.next(at)
         if m is None:
             _text(stack, page[at:])
             break
-        if m.start() > at:
-            _text(stack, page[at : m.start()])
-        at = m.end()
-        tag = m[2]
+        start, stop, tag, closes, begins = m
+        if start > at:
+            _text(stack, page[at:start])
+        at = stop
         if not tag:
             continue
         tag = tag.lower()
-        if m[1]:
+        if closes:
             if tag == "br":
                 stack[-1].children.append(Node("br", {}))
             elif tag == "p" and not last(("p",), SCOPE):
                 stack[-1].children.append(Node("p", {}))
-            elif names.get(tag) and tag not in ("html", "body"):
+            elif depths.get(tag) and tag not in ("html", "body"):
                 bounds = () if tag in ("table", "td", "th", "tr", "caption", "template") else ("table", "td", "th") if tag in BLOCKS else BOUND_INLINE
                 if depth := last((tag,), bounds):
                     close(depth)
             continue
-        attrs = {a.lower(): b or c or d for a, b, c, d in _ATTR.findall(m[3])} if m[3] else {}
+        attrs = scanner.attributes(begins, stop - 1)
         if tag in ("html", "body"):
             if tag == "body" and (depth := last(("head",), ())):
                 close(depth)
-            stack[-1].attrs.update({k: v for k, v in attrs.items() if k not in stack[-1].attrs}) if len(stack) == 1 else None
+            if len(stack) == 1:
+                root.attrs = attrs | root.attrs
             continue
-        if names.get("head") and tag not in HEAD_ONLY and stack[-1].tag == "head":
+        if stack[-1].tag == "head" and tag not in HEAD_ONLY:
             close(len(stack) - 1)
         if tag in ENDS_P and (depth := last(("p",), SCOPE)):
             close(depth)
@@ -112,15 +191,15 @@ def parse(page: str) -> tuple[Node, str]:
             if tag in ("thead", "tbody", "tfoot") and (depth := last(("tr",), ENDS[tag][1])):
                 close(depth)
         if tag in ("td", "th") and stack[-1].tag in ("table", "thead", "tbody", "tfoot"):
-            _open(stack, names, Node("tr", {}))
-        if tag[0] == "h" and tag in _HEADINGS and stack[-1].tag in _HEADINGS:
+            _open(stack, depths, Node("tr", {}))
+        if tag in _HEADINGS and stack[-1].tag in _HEADINGS:
             close(len(stack) - 1)
         node = Node(tag, attrs)
         if tag in VOID:
             stack[-1].children.append(node)
         elif tag in RAW:
             stack[-1].children.append(node)
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, at)
+            end = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, at)
             body = page[at : end.start()] if end else page[at:]
             if tag == "textarea":
                 node.children.append(unescape(body))
@@ -132,7 +211,7 @@ def parse(page: str) -> tuple[Node, str]:
                 break
             at = page.find(">", end.end()) + 1 or size
         else:
-            _open(stack, names, node)
+            _open(stack, depths, node)
     return root, "\n".join(styles)
 
 
@@ -140,21 +219,10 @@ _HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 BOUND_INLINE = frozenset(("table", "td", "th", "li", "div", "section", "article", "blockquote"))
 
 
-def _next(page: str, at: int):
-    """The next tag or comment; a sign that begins none is text."""
-    while True:
-        at = page.find("<", at)
-        if at < 0:
-            return None
-        if m := _TOKEN.match(page, at):
-            return m
-        at += 1
-
-
-def _open(stack: list[Node], names: dict[str, int], node: Node) -> None:
+def _open(stack: list[Node], depths: dict[str, list[int]], node: Node) -> None:
     stack[-1].children.append(node)
+    depths.setdefault(node.tag, []).append(len(stack))
     stack.append(node)
-    names[node.tag] = names.get(node.tag, 0) + 1
 
 
 def _text(stack: list[Node], raw: str) -> None:
@@ -164,19 +232,24 @@ def _text(stack: list[Node], raw: str) -> None:
         stack[-1].children.append(unescape(raw) if "&" in raw else raw)
 
 
-def _sheet(styles: str) -> dict[str, bool]:
+def _sheet(styles: str) -> frozenset[str]:
     """Simple selectors that hide what they match."""
-    found: dict[str, bool] = {}
-    for selectors, body in _RULE.findall(re.sub(r"/\*.*?\*/", "", styles, flags=re.S)) if "none" in styles or "hidden" in styles else ():
+    if "none" not in styles and "hidden" not in styles:
+        return frozenset()
+    plain, *more = styles.split("/*")
+    parts = [plain, *(c.partition("*/")[2] for c in more)]
+    found = set()
+    for rule in "".join(parts).split("}"):
+        head, _, body = rule.rpartition("{")
         if _NONE.search(body) or _HIDDEN.search(body):
-            for s in selectors.split(","):
+            for s in head.rpartition("{")[2].split(","):
                 s = s.strip()
-                if re.fullmatch(r"[.#]?[\w-]+", s):
-                    found[s if s[0] in ".#" else s.lower()] = True
-    return found
+                if _SELECTOR.fullmatch(s):
+                    found.add(s if s[0] in ".#" else s.lower())
+    return frozenset(found)
 
 
-def _seen(node: Node, sheet: dict[str, bool]) -> bool | None:
+def _seen(node: Node, sheet: frozenset[str]) -> bool | None:
     """False: nothing of it shows. None: as its parent. True: its own text shows even in a hidden parent."""
     tag, attrs = node.tag, node.attrs
     if tag in UNSEEN or "hidden" in attrs or (tag == "input" and attrs.get("type", "").lower() == "hidden") or (tag == "dialog" and "open" not in attrs):
@@ -194,15 +267,21 @@ def _seen(node: Node, sheet: dict[str, bool]) -> bool | None:
 
 
 class Flow:
-    """Lines of one block context; inline text gathers in ``words`` until the line ends."""
+    """Lines of the page, or of one table or cell. Inline text gathers in ``parts`` until its line ends.
+
+    Open lists, items and quotes are levels: each has what stands before its lines, a mark for its
+    first one, and the blank lines that wait for a next line inside it. Levels from ``used`` on have no line yet.
+    """
 
-    __slots__ = ("lines", "parts", "space", "gap", "kind", "count", "rows", "caption", "pre", "depth")
+    __slots__ = ("lines", "parts", "space", "pre", "kinds", "before", "marks", "counts", "blanks", "used", "waiting", "rows", "caption")
 
-    def __init__(self, kind: str, pre: int = 0, depth: int = 0):
+    def __init__(self, pre: int = 0):
         self.lines: list[str] = []
         self.parts: list[str] = []
-        self.space, self.gap, self.kind, self.count, self.pre, self.depth = False, 0, kind, 0, pre, depth
-        self.rows: list[list] = []
+        self.space, self.pre, self.used = False, pre, 0
+        self.kinds, self.before, self.marks, self.counts, self.blanks = ["flow"], [""], [""], [0], [[0, 0]]  # blanks: lines, and whether a gap follows
+        self.waiting: list[int] = []  # levels with blanks
+        self.rows: list[list] | None = None
         self.caption: list[str] = []
 
     def text(self, s: str) -> None:
@@ -224,71 +303,130 @@ class Flow:
 
     def flush(self, always: bool = False) -> None:
         if self.parts or always:
-            self.put(["".join(self.parts).rstrip()])
+            self.put("".join(self.parts).rstrip())
             self.parts = []
         self.space = False
 
     def block(self, apart: bool) -> None:
         self.flush()
-        self.gap = max(self.gap, int(apart))
-
-    def put(self, lines: list[str]) -> None:
-        if lines:
-            if self.lines and self.gap:
-                self.lines.append("")
-            self.gap = 0
-            self.lines += lines
+        if apart:
+            self._blank(1)
+
+    def _blank(self, which: int) -> None:
+        level = len(self.kinds) - 1
+        if self.used == len(self.kinds):  # no blank line comes first in a level
+            if not any(self.blanks[level]):
+                self.waiting.append(level)
+            self.blanks[level][which] = 1 if which else self.blanks[level][0] + 1 + self.blanks[level][1]
+            if not which:
+                self.blanks[level][1] = 0
+
+    def put(self, line: str) -> None:
+        if not line:
+            self._blank(0)
+            return
+        for level in self.waiting:
+            self.lines += [self.before[level].rstrip()] * sum(self.blanks[level])
+            self.blanks[level] = [0, 0]
+        self.waiting = []
+        if self.used < len(self.kinds):
+            old = self.before[self.used - 1] if self.used else ""
+            line = old + "".join(self.marks[self.used :]) + line
+            self.used = len(self.kinds)
+        else:
+            line = self.before[-1] + line
+        self.lines.append(line)
+
+    def enter(self, kind: str, mark: str = "", quote: bool = False, count: int = 0) -> None:
+        own = (mark if quote else " " * len(mark)) if len(self.before[-1]) + len(mark) <= INDENT else ""
+        self.kinds.append(kind)
+        self.before.append(self.before[-1] + own)
+        self.marks.append(own if quote else mark)
+        self.counts.append(count)
+        self.blanks.append([0, 0])
+
+    def leave(self) -> None:
+        self.flush()
+        for held in (self.kinds, self.before, self.marks, self.counts, self.blanks):
+            held.pop()
+        self.used = min(self.used, len(self.kinds))
+        if self.waiting and self.waiting[-1] == len(self.kinds):
+            self.waiting.pop()
 
     def done(self) -> list[str]:
         self.flush()
-        a, b = 0, len(self.lines)
-        while a < b and not self.lines[a]:
-            a += 1
-        while b > a and not self.lines[b - 1]:
-            b -= 1
-        return self.lines[a:b]
+        return self.lines
 
 
 def _number(value: str | None, default: int, most: int = 1000) -> int:
-    return max(1, min(most, int(value))) if value and value.isascii() and value.strip().isdigit() else default
+    return max(1, min(most, int(value))) if value and len(value) < 20 and value.isascii() and value.strip().isdigit() else default
 
 
 def _table(rows: list[list]) -> list[str]:
     """Cells (lines, columns, rows) in a grid, each column as wide as its widest line up to WIDE."""
-    grid: list[dict[int, list[str]]] = []
-    taken: dict[int, int] = {}  # column -> rows that a cell above still covers
-    for cells in rows:
-        own: dict[int, tuple] = {}
-        column = 0
-        for lines, across, down in cells:
-            while taken.get(column, 0) > 0:
-                column += 1
-            own[column] = (lines, across)
-            for c in range(column, column + across):
-                taken[c] = max(taken.get(c, 0), down)
+    cells = sum(map(len, rows))
+    steps = 64 * cells + 1000  # for cells of rows above; rows beyond are laid out without them
+    placed: list[list[tuple]] = []
+    above: list[list[int]] = []  # columns [start, end) that cells above still cover, for how many rows; in order
+    for own in rows:
+        at, column, out, fresh = 0, 0, [], []
+        for lines, across, down in own:
+            while at < len(above) and above[at][0] <= column:
+                column = max(column, above[at][1])
+                at += 1
+            out.append((column, across, lines))
+            if down > 1:
+                fresh.append([column, column + across, down])
             column += across
-        taken = {c: n - 1 for c, n in taken.items() if n > 1}
-        grid.append(own)
+        placed.append(out)
+        steps -= len(above)
+        if steps < 0:
+            above, fresh = [], []
+        merged: list[list[int]] = []
+        for start, end, down in sorted([*([a, b, n - 1] for a, b, n in above if n > 1), *([a, b, n - 1] for a, b, n in fresh)]):
+            if merged and merged[-1][1] == start and merged[-1][2] == down:
+                merged[-1][1] = end
+            else:
+                merged.append([start, end, down])
+        above = merged
     width: dict[int, int] = {}
-    for own in grid:
-        for c, (lines, across) in own.items():
-            if across == 1:
-                width[c] = max(width.get(c, 0), max((len(x) for x in lines if len(x) <= WIDE), default=0))
-    starts, total = {}, 0
-    for c in range(max((c + a for own in grid for c, (_, a) in own.items()), default=0)):
-        starts[c] = total
-        total += width.get(c, 0) + 2 if width.get(c, 0) else 0
-    out = []
-    for own in grid:
-        for i in range(max((len(lines) for lines, _ in own.values()), default=0)):
-            line, held = [], 0
-            for c, (lines, _) in own.items():
-                if i < len(lines) and lines[i]:
-                    pad = max(starts[c] - held, 2 if held else 0)
-                    line.append(" " * pad + lines[i])
-                    held += pad + len(lines[i])
-            out.append("".join(line).rstrip())
-    return [x for x in out if x]
+    chars = 0
+    for own in placed:
+        for column, across, lines in own:
+            chars += sum(map(len, lines))
+            if across == 1 and lines:
+                width[column] = max(width.get(column, 0), max((len(x) for x in lines if len(x) <= WIDE), default=0))
+    columns = sorted(c for c, w in width.items() if w)
+    upto = [0]
+    for c in columns:
+        upto.append(upto[-1] + width[c] + 2)
+    for aligned in (True, False):
+        out, spaces = [], 0
+        for own in placed:
+            by_line: list[list[tuple[int, str]]] = []
+            for column, _, lines in own:
+                start = upto[bisect.bisect_left(columns, column)] if aligned else 0
+                for i, x in enumerate(lines):
+                    if i == len(by_line):
+                        by_line.append([])
+                    if x:
+                        by_line[i].append((start, x))
+            for found in by_line:
+                line, held = [], 0
+                for start, x in found:
+                    pad = max(start - held, 2 if held else 0)
+                    spaces += pad
+                    if spaces > PADDING[0] * chars + PADDING[1]:
+                        break
+                    line.append(" " * pad + x)
+                    held += pad + len(x)
+                if line:
+                    out.append("".join(line))
+            if spaces > PADDING[0] * chars + PADDING[1]:
+                break
+        else:
+            break
+    return out
 
 
 def render(page: str) -> str:
@@ -297,7 +435,7 @@ def render(page: str) -> str:
         return ""
     root, styles = parse(page)
     sheet = _sheet(styles)
-    flows = [Flow("root")]
+    flows = [Flow()]
     # steps: (node or string, shown) to enter; (node, None) to leave
     steps: list[tuple] = [(root, True)]
     while steps:
@@ -337,21 +475,40 @@ def render(page: str) -> str:
     return "\n".join(flows[0].done())
 
 
+LISTS = frozenset(("ul", "ol", "menu", "dir"))
+LEVELS = LISTS | {"li", "dd", "blockquote"}
+CELLS = frozenset(("td", "th", "caption"))
+
+
+def _grid(flows: list[Flow]) -> bool:
+    """Whether what opens here stands in a table that is laid out."""
+    return flows[-1].rows is not None
+
+
 def _enter(node: Node, flows: list[Flow]) -> None:
     flow, tag = flows[-1], node.tag
-    if tag in ("td", "th", "caption", "table", "li", "dd", "blockquote") or tag in ("ul", "ol", "menu", "dir"):
-        nested = tag in ("ul", "ol", "menu", "dir") and flow.kind == "li"
-        flow.block(tag in APART and not nested)
-        own = Flow(tag, flow.pre, flow.depth)
-        if tag == "ol":
-            own.count = _number(node.attrs.get("start"), 1, 10**9) - 1
-        flows.append(own)
+    if tag in LEVELS:
+        flow.block(tag in APART and not (tag in LISTS and flow.kinds[-1] == "li"))
+        if tag == "li":
+            ordered = flow.kinds[-1] == "ol"
+            if ordered:
+                flow.counts[-1] = _number(node.attrs.get("value"), flow.counts[-1] + 1, 10**9)
+            flow.enter(tag, f"{flow.counts[-1]}. " if ordered else "- ")
+        elif tag == "ol":
+            flow.enter(tag, count=_number(node.attrs.get("start"), 1, 10**9) - 1)
+        else:
+            flow.enter(tag, {"dd": "  ", "blockquote": "> "}.get(tag, ""), tag == "blockquote")
+    elif tag == "table" and len(flows) < 2 * TABLES:
+        flow.block(True)
+        flows.append(Flow(flow.pre))
+        flows[-1].rows = []
+    elif tag in CELLS and _grid(flows):
+        flow.flush()
+        flows.append(Flow(flow.pre))
     elif tag == "tr":
         flow.flush()
-        if flow.kind == "table":
+        if _grid(flows):
             flow.rows.append([])
-    elif tag == "hr":
-        flow.block(True)
     else:
         flow.block(tag in APART)
         if tag in ("pre", "textarea", "xmp"):
@@ -359,34 +516,27 @@ def _enter(node: Node, flows: list[Flow]) -> None:
 
 
 def _leave(node: Node, flows: list[Flow]) -> None:
-    tag = node.tag
-    if flows[-1].kind == tag and tag in ("td", "th", "caption", "table", "li", "dd", "blockquote", "ul", "ol", "menu", "dir"):
-        own = flows.pop()
-        flow = flows[-1]
-        if tag in ("td", "th", "caption") and flow.kind == "table":
-            if tag == "caption":
-                flow.caption += own.done()
-            else:
-                if not flow.rows:
-                    flow.rows.append([])
-                flow.rows[-1].append((own.done(), _number(node.attrs.get("colspan"), 1), _number(node.attrs.get("rowspan"), 1, 65534)))
-            return
-        lines = own.done()
-        if tag == "table":
-            lines = own.caption + lines + _table(own.rows)
-        elif tag == "li":
-            ordered = flow.kind == "ol"
-            flow.count = _number(node.attrs.get("value"), flow.count + 1, 10**9) if ordered else flow.count
-            mark = f"{flow.count}. " if ordered else "- "
-            lines = [(mark if not i else " " * len(mark)) + x if x else x for i, x in enumerate(lines)]
-        elif tag == "dd":
-            lines = ["  " + x if x else x for x in lines]
-        elif tag == "blockquote":
-            lines = [("> " + x).rstrip() for x in lines]
-        flow.put(lines)
-        flow.block(tag in APART and not (tag in ("ul", "ol", "menu", "dir") and flow.kind == "li"))
+    tag, flow = node.tag, flows[-1]
+    if tag in LEVELS and flow.kinds[-1] == tag:
+        flow.leave()
+        flow.block(tag in APART and not (tag in LISTS and flow.kinds[-1] == "li"))
+        return
+    if tag in CELLS and len(flows) > 1 and flow.rows is None and flows[-2].rows is not None:
+        own, into = flows.pop().done(), flows[-1]
+        if tag == "caption":
+            into.caption += own
+        else:
+            if not into.rows:
+                into.rows.append([])
+            into.rows[-1].append((own, _number(node.attrs.get("colspan"), 1), _number(node.attrs.get("rowspan"), 1, 65534)))
+        return
+    if tag == "table" and _grid(flows):
+        flows.pop()
+        into = flows[-1]
+        for line in [*flow.caption, *flow.done(), *_table(flow.rows)]:
+            into.put(line)
+        into.block(True)
         return
-    flow = flows[-1]
     if tag in ("pre", "textarea", "xmp"):
         flow.flush()
         flow.pre -= 1
