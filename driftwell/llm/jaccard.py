@@ -3,14 +3,22 @@
 A text is cut at white space; its n-grams are the runs of N words (a shorter text is one n-gram of
 all its words). Texts with equal sets form a class at once. A class's MinHash signature is cut into
 bands; band and row counts come from the target recall at the threshold, with the fewest false
-candidates among those that reach it within ``max_hashes``. Classes that meet in a band hash are
-united into candidate groups (a star per hash, never its pairs); a group's sets are fetched once
-and compared in full, block pair by block pair, in numpy. Each task gives only a count for each class and a
-spanning forest of its links, so output does not grow with the square of a group.
+candidates among those that reach it within ``max_hashes``. Only verified links unite classes: first
+each class is compared with the least one of every band bucket that it is in, each such pair
+once; then, in buckets whose other members those links leave apart, members outside the
+largest part are compared with all others, so that every pair of a bucket is either
+compared or already in one group. Chance meetings in a bucket unite nothing. Each group is then compared in full,
+block pair by block pair, in numpy, which gives the number of links of each class. Tasks hold two blocks at most,
+whatever the size of a group or bucket, and give counts and spanning forests, never all pairs.
+
+The n-gram sets of classes that share a bucket are written once. Their ids are broadcast while
+they are SMALL at most; beyond that the join with the texts shuffles, after Spark's runtime
+Bloom filter on the ids.
 
 Null and empty texts, and those of white space alone, have no n-grams and link with nothing.
 Repeated rows are copies of one another; rows of one doc_id with different texts count as one
-document, whose links are those of all. Columns of other names are not read.
+document, whose links are those of all. Rows without an id take the class of their text, but are no
+one's link: they are in no count, and kept is null. An empty table gives an empty result. Columns of other names are not read.
 """
 
 from __future__ import annotations
@@ -23,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from driftwell.llm.blocks import dealt, per_task
-from driftwell.llm.common import map_texts, table, written
+from driftwell.llm.common import Scratch, map_texts, spread_join, table
 from driftwell.llm.components import Forest, components
 
 N = 5
@@ -31,7 +39,7 @@ THRESHOLD = 0.8
 RECALL = 0.9995
 BLOCK = 256
 WORDS = 100_000  # word hashes a task keeps
-SMALL = 200_000  # tasks over all rows of (id, key, tasks), some 150 bytes each with their row, that may be broadcast
+SMALL = 200_000  # rows of two numbers and a key, some 60 bytes each, that may be broadcast
 
 
 def bands_for(threshold: float, recall: float, max_hashes: int = 160) -> tuple[int, int]:
@@ -125,7 +133,7 @@ def signatures(docs: DataFrame, bands: int, rows: int, n: int = N, seed: int = 1
 
 def _sets(docs: DataFrame, n: int) -> DataFrame:
     """The rows of ``docs`` with grams in place of text; rows whose set is not the wanted one go."""
-    keep = [c for c in docs.columns if c not in ("text", "set_key")]
+    keep = [c for c in docs.columns if c != "text"]
 
     def run(part, texts):
         grams = [ngrams(t, n) for t in texts]
@@ -184,27 +192,75 @@ def _verify(threshold: float):
     return run
 
 
+def _by_hub(pairs: DataFrame) -> DataFrame:
+    """task, side and id for pairs (hub, id): each task compares one hub with BLOCK of its ids, about."""
+    sizes = pairs.groupBy("hub").agg(F.count("*").alias("hub_rows"))
+    parts = F.expr(f"hub_rows div {BLOCK} + 1")
+    name = lambda part: F.concat_ws("-", "hub", part)
+    hubs = sizes.select("hub", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part")).select(name(F.col("part")).alias("task"), F.lit(1).alias("side"), F.col("hub").alias("id"))
+    sized = spread_join(pairs, sizes, "hub", "hub_rows", pairs.count())
+    return hubs.unionByName(sized.select(name(F.pmod(F.xxhash64("id"), parts)).alias("task"), F.lit(2).alias("side"), "id"))
+
+
+def _by_bucket(met: DataFrame, groups: DataFrame, scratch: Scratch) -> DataFrame:
+    """task, side and id for buckets whose members, but for the hub, are in several groups.
+
+    Blocks of members outside the bucket's largest group meet all blocks of the bucket.
+    """
+    members = met.filter("id <> hub").select("hash", "id").join(groups, "id", "left").select("hash", "id", F.coalesce("component", "id").alias("part"))
+    members = scratch.write(members, "jaccard-members")
+    sizes = members.groupBy("hash", "part").agg(F.count("*").alias("n"))
+    open_ = sizes.groupBy("hash").agg(F.max_by("part", F.struct("n", "part")).alias("most"), F.sum("n").alias("rows"), F.max("n").alias("n")).filter("n < rows")
+    open_ = scratch.write(open_.withColumn("few", F.expr("rows - n")), "jaccard-open")
+    found = spread_join(members, open_, "hash", "rows", members.count()).filter("most is not null")
+    few = F.expr(f"few div {BLOCK} + 1")  # blocks of members outside the largest part, numbered first
+    many = F.expr(f"n div {BLOCK} + 1")
+    own = F.when(F.col("part") == F.col("most"), few + F.pmod(F.xxhash64("id"), many)).otherwise(F.pmod(F.xxhash64("id"), few))
+    placed = found.withColumn("own", own).withColumn("few_", few).withColumn("all_", few + many)
+    others = F.when(F.col("own") < F.col("few_"), F.sequence(F.lit(0).cast("long"), F.col("all_") - 1)).otherwise(F.sequence(F.lit(0).cast("long"), F.col("few_") - 1))
+    pairs = placed.withColumn("other", F.explode(others))
+    task = F.concat_ws("-", "hash", F.least("own", "other"), F.greatest("own", "other"))
+    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
+    return pairs.select(task.alias("task"), side.alias("side"), "id")
+
+
 def links(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, n: int = N, seed: int = 1) -> DataFrame:
     """doc_id, class_id (least doc_id reachable by links), n_links, kept for every row."""
     bands, rows = bands_for(threshold, recall)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed, _ = written(signatures(docs, bands, rows, n, seed), "jaccard-signatures")
-    classes, _ = written(signed.filter("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("id"), F.count("*").alias("times"), F.first("bands").alias("bands")), "jaccard-classes")
-    met = classes.select("id", F.explode("bands").alias("hash"))  # the band's number is in its hash
-    stars = met.groupBy("hash").agg(F.min("id").alias("hub"), F.max("id").alias("far")).filter("hub < far").drop("far")
-    candidates = components(met.join(stars, "hash").filter("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")), "jaccard-candidates")
-    wanted, _ = written(classes.drop("bands").join(candidates, "id").select("id", "set_key", F.col("component").alias("grp"), "times"), "jaccard-wanted")
-    tasks = dealt(wanted, BLOCK).groupBy("id", "set_key", "times").agg(F.collect_list(F.struct("task", "side")).alias("tasks"))  # one for each block of the group
-    tasks, _ = written(tasks.withColumnRenamed("id", "doc_id"), "jaccard-tasks")
-    total = tasks.agg(F.sum(F.size("tasks"))).first()[0] or 0  # a row has one for each block of its group
-    tasks = F.broadcast(tasks) if total <= SMALL else tasks.hint("merge")  # files are smaller than rows: no choice by their size
-    sets = _sets(docs.join(tasks, "doc_id").withColumnRenamed("doc_id", "id"), n)
-    sets = sets.select("id", "times", "grams", F.explode("tasks").alias("t")).select("id", "times", "grams", "t.task", "t.side")
-    found, _ = written(per_task(sets, _verify(threshold), "id long, n long, to long"), "jaccard-links")
-    counted = found.groupBy("id").agg(F.sum("n").alias("n"))
-    joined = components(found.filter("id <> to").select(F.col("id").alias("a"), F.col("to").alias("b")), "jaccard-components")
-    summary, _ = written(classes.select("set_key", "id", "times").join(joined, "id", "left").join(counted, "id", "left").select("set_key", F.coalesce("component", "id").alias("class_id"), (F.coalesce("n", F.lit(0)) + F.col("times") - 1).alias("n_links")), "jaccard-summary")
-    out = signed.select("doc_id", "set_key").join(summary, "set_key", "left")
+    with Scratch(docs.sparkSession) as scratch:
+        signed = scratch.write(signatures(docs, bands, rows, n, seed), "jaccard-signatures", read_later=True)
+        classes = signed.filter("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("id"), F.count("*").alias("times"), F.first("bands").alias("bands"))
+        classes = scratch.write(classes, "jaccard-classes")
+        all_ = classes.select("id", F.explode("bands").alias("hash"))  # the band's number is in its hash
+        stars = scratch.write(all_.groupBy("hash").agg(F.min("id").alias("hub"), F.max("id").alias("far"), F.count("*").alias("rows")).filter("hub < far").drop("far"), "jaccard-stars")
+        met = scratch.write(spread_join(all_, stars, "hash", "rows", classes.count()).filter("hub is not null").select("hash", "hub", "id"), "jaccard-met")
+        pairs = scratch.write(met.filter("id <> hub").select("hub", "id").distinct(), "jaccard-hub-pairs")
+        ids = pairs.select("id").union(pairs.select("hub")).distinct()
+        wanted = scratch.write(classes.select("id", "set_key", "times").join(ids, "id"), "jaccard-wanted")
+        known = wanted.withColumnRenamed("id", "doc_id")
+        known = F.broadcast(known) if wanted.count() <= SMALL else known.hint("merge")  # files are smaller than rows: no choice by their size
+        sets = scratch.write(_sets(docs.join(known, "doc_id").withColumnRenamed("doc_id", "id"), n), "jaccard-sets")
+        if not sets.filter("times > 1").groupBy("id", "set_key").count().filter("count > 1").isEmpty():  # repeated rows
+            sets = scratch.write(sets.filter("times = 1").unionByName(sets.filter("times > 1").dropDuplicates(["id", "set_key"])), "jaccard-sets")
+
+        def verified(tasks: DataFrame, name: str) -> DataFrame:
+            tasks = scratch.write(tasks, f"{name}-tasks")
+            tasks = F.broadcast(tasks) if tasks.count() <= SMALL else tasks.hint("merge")
+            return scratch.write(per_task(sets.drop("set_key").join(tasks, "id"), _verify(threshold), "id long, n long, to long"), name)
+
+        tied = lambda found: found.filter("id <> to").select(F.col("id").alias("a"), F.col("to").alias("b"))
+        edges = tied(verified(_by_hub(pairs), "jaccard-hubs"))
+        groups = scratch.write(components(edges, "jaccard"), "jaccard-groups")
+        more = scratch.write(tied(verified(_by_bucket(met, groups, scratch), "jaccard-buckets")), "jaccard-more")
+        if not more.isEmpty():
+            groups = scratch.write(components(groups.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more), "jaccard"), "jaccard-groups")
+        counted = verified(dealt(groups.withColumnRenamed("component", "grp"), BLOCK).drop("grp"), "jaccard-links").groupBy("id").agg(F.sum("n").alias("n"))
+        summary = classes.select("set_key", "id", "times").join(groups, "id", "left").join(counted, "id", "left")
+        summary = summary.select("set_key", "times", F.coalesce("component", "id").alias("class_id"), (F.coalesce("n", F.lit(0)) + F.col("times") - 1).alias("n_links"))
+        summary = scratch.write(summary, "jaccard-summary", read_later=True)
+        total = classes.agg(F.sum("times")).first()[0] or 0
+    out = spread_join(signed.select("doc_id", "set_key"), summary, "set_key", "times", total)
     class_id = F.coalesce("class_id", "doc_id")
     return out.select("doc_id", class_id.alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), (F.col("doc_id") == class_id).alias("kept"))
 

@@ -69,9 +69,43 @@ def test_many_tasks_of_few_rows_are_not_broadcast(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK", 4)  # 60 rows, 15 tasks each
     monkeypatch.setattr(jaccard, "SMALL", 500)
 
+    allowed = jaccard.F.broadcast
+
     def refuse(frame):
-        raise AssertionError("broadcast")
+        assert "task" not in frame.columns or frame.count() <= 500
+        return allowed(frame)
 
     monkeypatch.setattr(jaccard.F, "broadcast", refuse)
     assert sorted((r.doc_id, r.class_id, r.n_links) for r in jaccard.links(docs).collect()) == want
     assert want[5] == (5, 0, 59)
+
+
+def test_chance_meetings_unite_nothing(spark, monkeypatch):
+    """Bands of one row let texts with few shared n-grams meet; only links make groups, and no link is lost."""
+    monkeypatch.setattr(jaccard, "bands_for", lambda threshold, recall: (24, 1))
+    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    rng = random.Random(5)
+    common = [f"c{i}" for i in range(40)]
+    rows = []
+    for g in range(12):  # groups of near copies, which share a passage with all others
+        base = common + [f"g{g}w{i}" for i in range(60)]
+        for i in range(rng.randint(1, 9)):
+            own = list(base)
+            own[rng.randrange(45, 100)] = f"own{i}"
+            rows.append((100 * g + i, " ".join(own)))
+    rng.shuffle(rows)
+    wide = jaccard.dealt
+    largest = []
+
+    def dealt(members, block):
+        largest.append(members.groupBy("grp").count().agg({"count": "max"}).first()[0])
+        return wide(members, block)
+
+    monkeypatch.setattr(jaccard, "dealt", dealt)
+    got = sorted((r.doc_id, r.class_id, r.n_links) for r in jaccard.links(documents(spark, rows)).collect())
+    want = brute(rows)
+    assert got == want
+    sizes = {}
+    for _, c, _ in want:
+        sizes[c] = sizes.get(c, 0) + 1
+    assert largest == [max(sizes.values())]
