@@ -1,7 +1,8 @@
 """Personal data: wide generators propose spans, boosted trees score them, calibrated thresholds choose.
 
 Spans of the four base patterns always count. Generators then propose further, overlapping
-spans in looser formats; trees trained on a seeded synthetic set (in numpy, on the driver)
+spans: looser formats, and what stands inside a base match that a neighbour made too long (two card
+numbers side by side, an address after a phone number). Trees trained on a seeded synthetic set (in numpy, on the driver)
 score each from its format and context; those above their kind's threshold are added unless
 they meet a span that is already taken.
 
@@ -11,8 +12,10 @@ linear in the text: no pattern backtracks over a long run.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
+import itertools
 import random
 import re
 
@@ -31,6 +34,8 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
+_DIGITS = re.compile(r"[0-9]+")
+_BESIDE = re.compile(r"[0-9][ -]?$"), re.compile(r"[ -]?[0-9]")  # a digit right before, right after
 
 
 def luhn(digits: str) -> bool:
@@ -88,7 +93,6 @@ _HINTS = tuple(re.compile(p, re.I) for p in (
     r"mail|contact|write|reach", r"\bip\b|host|server|addr|login from|ping", r"card|visa|pay|credit|debit|amex",
     r"phone|tel|call|mobile|fax|cell|sms|dial", r"version|build|release|chapter|section|v\b|isbn|order|invoice|serial|price|total|ref|id\b|no\b|#|\$|date|year",
 ))
-FEATURES = 26
 _SPELT = re.compile(r"[(\[{] ?at ?[)\]}]| at (?=[\w-]{1,40} dot )", re.I)
 #: Runs that start with a digit; only they and what stands just before can hold a number.
 _ZONE = re.compile(r"[0-9][0-9 ()./_:,+\[\]A-Fa-f-]*")
@@ -102,10 +106,31 @@ def candidates(text: str) -> list[tuple[int, int, int]]:
     for zone in _ZONE.finditer(text):
         a, b = zone.span()
         if b - a >= 7:
+            found += _split(text, a, b)
             found += [(kind, m.start(), m.end()) for kind, pattern in _GENERATORS[1:] for m in pattern.finditer(text, max(0, a - 5), b + 1)]
     return found
 
 
+def _split(text: str, start: int, end: int) -> list[tuple[int, int, int]]:
+    """Runs of whole digit groups that hold a card's digits, inside card matches that hold too many."""
+    found = []
+    for m in _CARD.finditer(text, start, end):
+        if m.end() - m.start() < 20:
+            continue
+        groups = [g.span() for g in _DIGITS.finditer(text, m.start(), m.end())]
+        if sum(b - a for a, b in groups) < 20:
+            continue
+        for i, (a, _) in enumerate(groups):
+            digits = 0
+            for c, b in groups[i : i + 6]:
+                digits += b - c
+                if digits > 19:
+                    break
+                if digits >= 13:
+                    found.append((2, a, b))
+    return found
+
+
 def _iter(pattern: re.Pattern, text: str, kind: int):
     """For spelt-out addresses only the surroundings of each at sign are searched."""
     if kind:
@@ -136,6 +161,7 @@ def features(text: str, kind: int, start: int, end: int) -> list[float]:
         float(13 <= len(digits) <= 19 and luhn(digits)), float(bool(parts) and max(parts) <= 255), len(groups[0]) if groups else 0, len(groups[-1]) if groups else 0,
         float(bool(re.search(r"\bat\b|\bdot\b", s, re.I))), float(bool(re.search(r"(?:com|org|net|edu|info|io|de|fr|es|uk)$", s, re.I))),
         float(any(1900 <= p <= 2100 for p in parts[:1])), *(float(bool(p.search(left))) for p in _HINTS), float(right[:1] in "%$€°"),
+        float(bool(_BESIDE[0].search(left))), float(bool(_BESIDE[1].match(right))),
     ]
 
 
@@ -145,10 +171,14 @@ def _training_rows(seed: int, count: int) -> tuple[np.ndarray, np.ndarray]:
     word = lambda: "".join(rng.choice("aeioulnrstdm") for _ in range(rng.randint(2, 8)))
     num = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
 
-    def card() -> str:
-        body = rng.choice("3456") + num(14)
+    def card(first: str = "3456") -> str:
+        body = rng.choice(first) + num(14)
         return body + next(c for c in "0123456789" if luhn(body + c))
 
+    def decoy(first: str = "0123456789") -> str:
+        body = rng.choice(first) + num(rng.choice((12, 14, 15, 15, 15, 17)))
+        return body if not luhn(body) else body[:-1] + str((int(body[-1]) + rng.randint(1, 9)) % 10)
+
     def grouped(d: str, sep: str) -> str:
         return sep.join(d[i : i + 4] for i in range(0, len(d), 4))
 
@@ -162,11 +192,16 @@ def _training_rows(seed: int, count: int) -> tuple[np.ndarray, np.ndarray]:
         (2, ("card", "visa", "pay with", "credit card"), lambda: grouped(card(), rng.choice((".", "/", "  ", "_", " - ", "-")))),
         (3, ("call", "tel", "phone", "mobile", "fax", "dial"), lambda: rng.choice((f"({num(3)}) {num(3)}-{num(4)}", f"{num(3)}-{num(3)}-{num(4)}", f"0{num(2)} {num(4)} {num(4)}", f"00{num(2)} {num(3)} {num(6)[:5]}", f"{num(3)}.{num(3)}.{num(4)}"))),
         (3, ("call", "tel", "phone"), lambda: "0" + num(9)),
+        *((2, ("", "of", "the", "and", f"{decoy()}", f"{card('123456789')}"), lambda: (grouped(card("123456789"), rng.choice(("", "", " ", "-"))), rng.choice((" " + card("123456789"), " " + decoy(), "-" + num(5), "")))) for _ in range(2)),
+        (3, ("", "the", "and", "call", num(3)), lambda: (rng.choice((f"+{num(1)} ({num(3)}) {num(3)}-{num(4)}", f"+{num(2)} {num(3)} {num(3)} {num(4)}", f"+{num(2)}-{num(4)}-{num(4)}")), rng.choice((" " + octets("."), " " + card("123456789"), f" {num(5)}-{num(5)}")))),
     )
     negative = (
         (("the meeting", "we met", "sat", "look"), lambda: f"{word()} at {word()}.{word().capitalize()}"),
         (("version", "build", "release", "section", "chapter", ""), lambda: octets(rng.choice((".", ", ", "-", " . ")))),
-        (("order", "serial", "ref", "invoice", "id", "", "total"), lambda: grouped(rng.choice("123456789") + num(rng.choice((11, 13, 15, 17))), rng.choice((" ", "-", "/", "")))),
+        (("order", "serial", "ref", "invoice", "id", "total"), lambda: grouped(rng.choice("123456789") + num(rng.choice((11, 13, 15, 17))), rng.choice((" ", "-", "/", "")))),
+        *(((("", "of", "the", "and", "card", decoy(), card("123456789")), lambda: (grouped(decoy(), rng.choice(("", "", " ", "-"))), rng.choice((" " + card("123456789"), " " + decoy(), "-" + num(5), "", ""))))) for _ in range(3)),
+        (("", "of", "id", "hash"), lambda: num(rng.randint(20, 40))),
+        (("", "of", "the"), lambda: " ".join(num(rng.choice((3, 4, 5, 8))) for _ in range(rng.randint(5, 9)))),
         (("isbn", "serial no", ""), lambda: f"978-{num(1)}-{num(3)}-{num(5)}-{num(1)}"),
         (("date", "on", "year", "in", ""), lambda: rng.choice((f"{rng.randint(1900, 2030)}-{num(2)}-{num(2)}", f"{num(2)}.{num(2)}.{rng.randint(1900, 2030)}", f"{rng.randint(1900, 2030)}-{rng.randint(1900, 2030)}"))),
         (("price", "total", "about", "", "id", "ref"), lambda: rng.choice((num(10), num(12), f"{num(3)} {num(3)}", f"{num(3)}-{num(2)}", f"{num(2)}/{num(2)}", f"{num(3)} {num(3)} {num(3)}"))),
@@ -183,8 +218,9 @@ def _training_rows(seed: int, count: int) -> tuple[np.ndarray, np.ndarray]:
             hints, make = rng.choice(negative)
         lead = " ".join(word() for _ in range(rng.randint(0, 4)))
         hint, body = rng.choice(hints), make()
+        body, after = body if isinstance(body, tuple) else (body, "")
         before = f"{lead} {hint}{rng.choice((': ', ' ', ' is '))}"
-        text = f"{before}{body}{rng.choice((' ', '. ', ', ', chr(10)))}{word()} {word()}"
+        text = f"{before}{body}{after}{rng.choice((' ', '. ', ', ', chr(10)))}{word()} {word()}"
         for k, a, b in candidates(text):
             if a < len(before) + len(body) and b > len(before):
                 exact = len(before) - 1 <= a and b <= len(before) + len(body) + 1 and b - a >= 0.8 * len(body)
@@ -217,9 +253,14 @@ def all_spans(texts: list[str], fitted) -> list[tuple[list, list]]:
     base = [base_spans(t) for t in texts]
     rows, owner = [], []
     for i, text in enumerate(texts):
-        taken = base[i]
-        for kind, a, b in candidates(text):
-            if not any(x < b and a < y for _, x, y in _near(taken, a, b)):
+        proposed = candidates(text)
+        if not proposed:
+            continue
+        taken = sorted((a, b) for _, a, b in base[i])
+        starts, ends = [a for a, _ in taken], list(itertools.accumulate((b for _, b in taken), max))
+        for kind, a, b in dict.fromkeys(proposed):
+            before = bisect.bisect_left(starts, b)  # spans that begin before its end
+            if not before or ends[before - 1] <= a:
                 rows.append(features(text, kind, a, b))
                 owner.append((i, kind, a, b))
     added: list[list] = [[] for _ in texts]
@@ -232,7 +273,7 @@ def all_spans(texts: list[str], fitted) -> list[tuple[list, list]]:
         for i, chosen in by_text.items():
             kept: list[tuple[int, int]] = []
             for _, a, minus_b, kind in sorted(chosen):
-                at = _place(kept, a)
+                at = bisect.bisect_left(kept, (a, -1))
                 b = -minus_b
                 if not (at < len(kept) and kept[at][0] < b) and not (at and kept[at - 1][1] > a):
                     kept.insert(at, (a, b))
@@ -240,16 +281,6 @@ def all_spans(texts: list[str], fitted) -> list[tuple[list, list]]:
     return list(zip(base, added))
 
 
-def _place(spans: list[tuple[int, int]], a: int) -> int:
-    import bisect
-
-    return bisect.bisect_left(spans, (a, -1))
-
-
-def _near(spans: list[tuple[int, int, int]], a: int, b: int):
-    return spans if len(spans) < 64 else [s for s in spans if s[1] < b and a < s[2]]
-
-
 def _digest(spans: list) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in sorted(spans))
 
@@ -266,10 +297,11 @@ def find(docs: DataFrame, seed: int = 7) -> DataFrame:
             "doc_id": part.column("doc_id"), **{f"n_{k}": counts[:, i] for i, k in enumerate(KINDS)},
             "base_sha256": [hashlib.sha256(x.encode()).hexdigest() for x in joined],
             "spans": [_digest(base + added) if added else x for (base, added), x in zip(found, joined)], "n_added": [len(added) for _, added in found],
+            "n_spans": [len(base) + len(added) for base, added in found],
         }
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_texts(docs.select("doc_id", "text"), run, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+    return map_texts(docs.select("doc_id", "text"), run, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_spans long")
 
 
 def redacted(text: str, spans: list[tuple[int, int, int]]) -> str:
