@@ -1,27 +1,38 @@
 """SentencePiece encoding and decoding by weighted finite-state transducers.
 
-A model file is compiled into three machines: the normaliser (white space to the space mark,
-the dummy prefix, collapsing where the model asks for it), the piece transducer (a trie over
-all pieces, with byte fallback for a character that no piece begins), and the weights. For a unigram
-model an arc weighs minus its piece's score. A merge (BPE) model weighs pairs: an acceptor over
-neighbouring pieces gives 0 where the merge order leaves the pair apart and infinity where it
-would have merged across. Composing these with an input and taking the shortest path in the
-tropical semiring gives the library's encoding; for a merge model exactly one path is finite.
+A model file is compiled into three machines:
+
+* the normaliser, a transducer of three states (before the text, inside, in a gap) that writes the
+  space mark for white space, the dummy prefix, and collapses gaps where the model asks for it;
+* the pieces, a trie whose ends write a piece and return to its root, with byte fallback as the arc for a
+  character that no piece is;
+* the weights, an acceptor over pieces. For a unigram model it has one state and an arc weighs
+  minus its piece's score. For a merge (BPE) model its states are the pieces, and the arc from one to
+  the next weighs 0 if merging never joins anything across their border, else infinity.
+
+An input is composed with the normaliser, then with the pieces, then with the weights, and the
+shortest path in the tropical semiring (least sum of weights) is the library's encoding; for a
+merge model it is the only path of finite weight. The arcs of the third machine are compiled from how each piece is built:
+the last two parts that merge into it, the parts of those along the border, and when each is there. Two
+pieces stay apart if no two parts that are there at the same time merge before either is used up.
 
 Input is composed in chunks that no piece can cross (at space marks and at characters outside
 all pieces), and chunks seen before come from a cache of bounded size.
 
-Null texts count as empty; the empty text has no ids. Ids out of range raise ValueError.
-Repeated rows give repeated results. Long chunks take time linear in their length.
+Null texts count as empty; the empty text has no ids. A literal space mark (U+2581) is decoded as a
+space, as by the library. Ids out of range raise ValueError. Repeated rows give repeated results;
+other columns are not read. Long chunks take time linear in their length. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
+import math
 import re
 import struct
 from dataclasses import dataclass, field
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -104,18 +115,19 @@ def read_model(data: bytes) -> Spec:
 
 
 class Paths(dict):
-    """Shortest paths of ``lead`` and a chunk. Two generations bound it: a full one ages, the aged one goes.
+    """Shortest paths of ``lead`` and a chunk, from one state of the normaliser.
 
-    A chunk is kept from its second miss on, so that those that occur once take no room.
+    Two generations bound it: a full one ages, the aged one goes. A chunk is kept from its second
+    miss on, so that those that occur once take no room.
     """
 
-    def __init__(self, machine: Transducer, lead: str):
-        self.machine, self.lead, self.old, self.met = machine, lead, {}, bytearray(DOOR)
+    def __init__(self, machine: Transducer, state: int, lead: str = ""):
+        self.machine, self.state, self.lead, self.old, self.met = machine, state, lead, {}, bytearray(DOOR)
 
     def __missing__(self, chunk: str) -> bytes:
         got = self.old.get(chunk)
         if got is None:
-            got = self.machine.shortest_path(self.lead + chunk)
+            got = self.machine.path(self.lead + chunk, self.state)
             place = hash(chunk) & (DOOR - 1)
             if not self.met[place]:
                 self.met[place] = 1
@@ -128,26 +140,104 @@ class Paths(dict):
         return got
 
 
+BEFORE, INSIDE, GAP = range(3)
+
+
+class Normaliser:
+    """For each state what a space and what any other character writes, and the state after it."""
+
+    def __init__(self, spec: Spec):
+        first = SPACE if spec.dummy_prefix else ""
+        if spec.collapse:
+            self.arcs = {BEFORE: (("", BEFORE), (first, INSIDE)), INSIDE: (("", GAP), ("", INSIDE)), GAP: (("", GAP), (SPACE, INSIDE))}
+        else:
+            self.arcs = {BEFORE: ((first + SPACE, INSIDE), (first, INSIDE)), INSIDE: ((SPACE, INSIDE), ("", INSIDE))}
+
+    def compose(self, text: str, state: int) -> tuple[str, int]:
+        """What the text's only path writes, and its last state."""
+        out = []
+        for c in text:
+            space, other = self.arcs[state]
+            if c == " ":
+                written, state = space
+                out.append(written)
+            else:
+                written, state = other
+                out.append(written + c)
+        return "".join(out), state
+
+
+class Merges:
+    """Which neighbours stay apart under the merge order, from how pieces are built.
+
+    Time runs from the best score down. A character is there from the start; a piece from when its
+    two last parts have merged, until it merges into a larger one.
+    """
+
+    def __init__(self, names: list[str], scores: list[float], ids: dict[str, int]):
+        self.names, self.scores, self.ids = names, scores, ids
+        self.built: dict[int, tuple | None] = {}  # piece -> since when it is there, spines to the left and right
+
+    def of(self, piece: int) -> tuple | None:
+        """(time, left spine, right spine); a spine lists (part, its time, the time it is used up), innermost first. None: merging never gives the piece."""
+        if piece in self.built:
+            return self.built[piece]
+        name, got = self.names[piece], None
+        if len(name) == 1:
+            one = ((piece, math.inf, -math.inf),)
+            got = math.inf, one, one
+        for k in range(1, len(name)):
+            left, right = self.ids.get(name[:k]), self.ids.get(name[k:])
+            if left is None or right is None or (a := self.of(left)) is None or (b := self.of(right)) is None or self._joins(a[2], b[1], False):
+                continue
+            since = min(self.scores[piece], a[0], b[0])
+            used = lambda spine: (*spine[:-1], (spine[-1][0], spine[-1][1], since), (piece, since, -math.inf))
+            got = since, used(a[1]), used(b[2])
+            break
+        self.built[piece] = got
+        return got
+
+    def _joins(self, left: tuple, right: tuple, whole: bool) -> bool:
+        """Whether parts on the two sides of a border merge; with ``whole``, the two pieces themselves count too."""
+        i = j = 0
+        while True:
+            (a, a_since, a_until), (b, b_since, b_until) = left[i], right[j]
+            last = i == len(left) - 1 and j == len(right) - 1
+            if last and not whole:
+                return False
+            joint = self.ids.get(self.names[a] + self.names[b])
+            if joint is not None:
+                at = min(self.scores[joint], a_since, b_since)
+                if at > a_until and at >= b_until:  # of equal scores the leftmost merges first
+                    return True
+            if last:
+                return False
+            if a_until >= b_until:
+                i += 1
+            else:
+                j += 1
+
+    def apart(self, left: int, right: int) -> bool:
+        a, b = self.of(left), self.of(right)
+        return a is not None and b is not None and not self._joins(a[2], b[1], True)
+
+
 class Transducer:
     """A compiled model."""
 
     def __init__(self, data: bytes):
         self.spec = s = read_model(data)
         self.bytes_ = [-1] * 256
-        self.scores = [p[1] for p in s.pieces]
-        self.arcs: dict[str, int] = {}  # trie: prefix -> id of the piece it is, or -1
+        self.normaliser = Normaliser(s)
         real = [(p, i) for i, (p, _, kind) in enumerate(s.pieces) if kind in (_NORMAL, _USER) and p]
-        for p, _ in real:
-            for k in range(1, len(p)):
-                self.arcs.setdefault(p[:k], -1)
-        self.arcs |= dict(real)
         for i, (p, _, kind) in enumerate(s.pieces):
             if kind == _BYTE:
                 self.bytes_[int(p[3:5], 16)] = i
         if s.byte_fallback and -1 in self.bytes_:
             raise ValueError("byte pieces are missing")
-        chars = {c for p, _ in real for c in p}
-        if s.kind == _BPE and any(self.arcs.get(c, -1) < 0 for c in chars):
+        ids, chars, scores = dict(real), {c for p, _ in real for c in p}, [p[1] for p in s.pieces]
+        self.pairs = s.kind == _BPE
+        if self.pairs and not chars <= set(ids):
             raise ValueError("a merge model must hold each character of its pieces")
         self.size, self.codes = len(s.pieces), [i.to_bytes(4, "little") for i in range(len(s.pieces))]
         self.trie: dict = {}  # character -> (id of the piece that ends here or -1, the steps from here)
@@ -159,10 +249,14 @@ class Transducer:
                 last, node = node, node[c][1]
             last[p[-1]] = (i, node)
         self.splits = not any(SPACE in p.lstrip(SPACE) for p, _ in real)
-        self.line_ends = "\n" not in chars
-        self.least = min((self.scores[i] for _, i in real), default=0.0) - 10.0  # an unknown character's score
-        self.apart: dict[int, bool] = {}
-        self.bare, self.spaced = Paths(self, ""), Paths(self, SPACE)
+        self.by_line = self.splits and not s.collapse and "\n" not in chars
+        if not self.pairs and max(scores[i] for _, i in real) > 0:
+            raise ValueError("a unigram model's scores must not be above 0")
+        self.start = self.size if self.pairs else 0  # the weights' state at the start and after fallback
+        self.merges = Merges([p[0] for p in s.pieces], scores, ids)
+        self.weights: dict[int, float] = {} if self.pairs else {i: -scores[i] for _, i in real}  # state * size + piece
+        self.lost = 0.0 if self.pairs else 10.0 - min((scores[i] for _, i in real), default=0.0)  # of a character that is no piece
+        self.first, self.bare, self.spaced = Paths(self, BEFORE), Paths(self, INSIDE), Paths(self, INSIDE, " ")
         self.newline = self._fallback("\n")
         self.forms = [self._form(i) for i in range(len(s.pieces))]
 
@@ -176,141 +270,87 @@ class Transducer:
         ids = [self.bytes_[b] for b in char.encode("utf-8", "replace")] if self.spec.byte_fallback else [self.spec.unknown]
         return np.array(ids, "<i4").tobytes()
 
-    def normalise(self, text: str) -> str:
-        if self.spec.collapse:
-            text = re.sub(" +", " ", text).strip(" ")
-        return ((" " if self.spec.dummy_prefix and text else "") + text).replace(" ", SPACE)
-
-    def _merge(self, text: str) -> list[str]:
-        """The merge order itself on a short string: best score first, then leftmost."""
-        parts = list(text)
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                k = self.arcs.get(parts[i] + parts[i + 1], -1)
-                if k >= 0 and (best is None or self.scores[k] > best):
-                    best, at = self.scores[k], i
-            if at < 0:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
-
-    def _stays_apart(self, a: int, b: int) -> bool:
-        """The pair acceptor: weight 0 (True) or infinity."""
-        left, right = self.spec.pieces[a][0], self.spec.pieces[b][0]
-        if len(self.apart) >= PAIRS:
-            self.apart.clear()
-        out = self.apart[a * self.size + b] = self._merge(left + right) == [left, right]
+    def _weigh(self, state: int, piece: int) -> float:
+        """The weight of an arc of a merge model's acceptor."""
+        if len(self.weights) >= PAIRS:
+            self.weights.clear()
+        fits = self.merges.of(piece) is not None if state == self.start else self.merges.apart(state, piece)
+        out = self.weights[state * self.size + piece] = 0.0 if fits else math.inf
         return out
 
-    def shortest_path(self, chunk: str) -> bytes:
-        """Ids (little-endian int32) of the best path through the composition with one chunk."""
-        return self._path_merges(chunk) if self.spec.kind == _BPE else self._path_scores(chunk)
+    def path(self, chunk: str, state: int) -> bytes:
+        """Ids (little-endian int32) of the shortest path through the composition of a chunk with all machines."""
+        return self.shortest_path(self.normaliser.compose(chunk, state)[0])
 
-    def _path_merges(self, chunk: str) -> bytes:
-        """Depth first, longest piece first: the one finite path, found mostly without a step back.
+    def shortest_path(self, symbols: str) -> bytes:
+        """The composition of normalised symbols with pieces and weights is built as far as the search goes.
 
-        Only one finite path leads to any position, so one from which the search came back is dead.
+        States (place, state of the weights) are settled in order of their least sum, and of equal
+        sums the furthest first. No weight is below 0; an arc of a merge model is weighed when its turn comes.
         """
-        root, apart, size, n = self.trie, self.apart, self.size, len(chunk)
-        dead: set[int] = set()
-        path: list[tuple[int, int, list]] = []  # start, piece (-1: fallback), shorter pieces left to try
-        j, a, todo = 0, -1, None
-        while j < n:
-            if todo is None:
-                todo, k, node = [], j, root
-                while k < n:
-                    step = node.get(chunk[k])
-                    if step is None:
-                        break
-                    k += 1
-                    b, node = step
-                    if b >= 0:
-                        todo.append((k, b))
-                if not todo or todo[0][0] > j + 1:
-                    todo = [(j + 1, -1)]
-            while todo:
-                k, b = todo.pop()
-                if k in dead:
+        n, trie, size, weights, start, pairs = len(symbols), self.trie, self.size, self.weights, self.start, self.pairs
+        back: dict[int, tuple] = {}  # settled state -> the arc it came by
+        arcs: list[tuple] = [(0.0, 0, 0, start, -1)]  # sum, minus the place it leads to, the state it leaves, piece
+        while arcs:
+            total, k, j, state, piece = heappop(arcs)
+            k, to = -k, start
+            if pairs and piece >= 0:
+                w = weights.get(state * size + piece)
+                if w is None:
+                    w = self._weigh(state, piece)
+                if w:
                     continue
-                if b >= 0:
-                    if a >= 0:
-                        ok = apart.get(a * size + b)
-                        if ok is None:
-                            ok = self._stays_apart(a, b)
-                    else:
-                        ok = k == j + 1 or self._whole(b)
-                    if not ok:
-                        continue
-                path.append((j, b, todo))
-                j, a, todo = k, b, None
+                to = piece
+            key = k * (size + 1) + to
+            if key in back:
+                continue
+            back[key] = j, state, piece
+            if k == n:
                 break
-            else:
-                dead.add(j)
-                if not path:
-                    raise ValueError("no finite path")
-                j, _, todo = path.pop()
-                a = path[-1][1] if path else -1
-        codes = self.codes
-        return b"".join([codes[b] if b >= 0 else self._fallback(chunk[j]) for j, b, _ in path])
-
-    def _whole(self, piece: int) -> bool:
-        """Whether merging ever builds this piece from its characters."""
-        key = -1 - piece
-        ok = self.apart.get(key)
-        if ok is None:
-            text = self.spec.pieces[piece][0]
-            ok = self.apart[key] = self._merge(text) == [text]
-        return ok
-
-    def _path_scores(self, chunk: str) -> bytes:
-        arcs, scores = self.arcs, self.scores
-        n = len(chunk)
-        best = [float("-inf")] * (n + 1)
-        last: list[int | None] = [None] * (n + 1)
-        back = [0] * (n + 1)
-        best[0], last[0] = 0.0, -1
-        for j in range(n):
-            single = False
-            k = j + 1
-            while k <= n:
-                b = arcs.get(chunk[j:k])
-                if b is None:
-                    break
-                if b >= 0:
-                    single |= k == j + 1
-                    w = best[j] + scores[b]
-                    if w > best[k]:
-                        best[k], last[k], back[k] = w, b, j
+            j, node, single = k, trie, False
+            while k < n and (step := node.get(symbols[k])) is not None:
                 k += 1
-            if not single and best[j] + self.least > best[j + 1]:
-                best[j + 1], last[j + 1], back[j + 1] = best[j] + self.least, -1, j
-        return self._backtrack(chunk, last, back)
-
-    def _backtrack(self, chunk: str, last: list, back: list) -> bytes:
-        out, k = [], len(chunk)
+                piece, node = step
+                if piece >= 0:
+                    single = single or k == j + 1
+                    heappush(arcs, (total if pairs else total + weights[piece], -k, j, to, piece))
+            if not single:
+                heappush(arcs, (total + self.lost, -j - 1, j, to, -1))
+        else:
+            raise ValueError("no finite path")
+        out, codes = [], self.codes
         while k:
-            j = back[k]
-            out.append(self._fallback(chunk[j]) if last[k] == -1 else int(last[k]).to_bytes(4, "little"))
-            k = j
-        return b"".join(reversed(out))
+            j, state, piece = back[k * (size + 1) + to]
+            out.append(codes[piece] if piece >= 0 else self._fallback(symbols[j]))
+            k, to = j, state
+        out.reverse()
+        return b"".join(out)
 
     def encode(self, text: str) -> bytes:
-        s = self.normalise(text)
-        if not s:
+        if not text:
             return b""
         if not self.splits:
-            return self.shortest_path(s)
-        bare, spaced = self.bare.__getitem__, self.spaced.__getitem__
-        if not self.line_ends:
-            return b"".join(map(bare, _CHUNKS.findall(s)))
-        out = []
-        for line in s.split("\n"):
-            first, *words = line.split(SPACE)
-            if "" in words:
-                out.append(b"".join(map(bare, _CHUNKS.findall(line))))
+            return self.path(text, BEFORE)
+        if not self.by_line or SPACE in text:
+            out, state = [], BEFORE
+            for chunk in _CHUNKS.findall(text):
+                out.append((self.first if state == BEFORE else self.bare)[chunk])
+                if state == BEFORE:
+                    state = self.normaliser.compose(chunk, state)[1]
+                    state = INSIDE if state == GAP else state
+            return b"".join(out)
+        bare, spaced, out = self.bare.__getitem__, self.spaced.__getitem__, []
+        for n, line in enumerate(text.split("\n")):
+            first, *words = line.split(" ")
+            start = bare if n else self.first.__getitem__
+            if "" in words or (not n and not first):
+                begin, *chunks = _CHUNKS.findall(line) or [""]
+                if not n and not line:  # the dummy prefix stands before the line's end
+                    out.append(self.shortest_path(self.normaliser.compose("\n", BEFORE)[0][:-1]))
+                else:
+                    out.append(start(begin) + b"".join(map(bare, chunks)))
             else:
-                out.append((bare(first) if first else b"") + b"".join(map(spaced, words)))
+                out.append((start(first) if first else b"") + b"".join(map(spaced, words)))
         return self.newline.join(out)
 
     def decode(self, ids: np.ndarray) -> str:
@@ -320,7 +360,7 @@ class Transducer:
         return text[1:] if self.spec.dummy_prefix and text.startswith(" ") else text
 
 
-_CHUNKS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+_CHUNKS = re.compile(f"[ {SPACE}]*[^ {SPACE}]+|[ {SPACE}]+")  # with collapsing, spaces belong to the word after them
 
 
 @functools.lru_cache(maxsize=4)

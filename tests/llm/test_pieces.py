@@ -74,3 +74,34 @@ def test_table(spark):
     assert pieces.tokenised(docs.limit(0)).count() == 0
     with pytest.raises(ValueError):
         pieces.Transducer(model).decode(np.array([10**6]))
+
+
+def merged(machine, text):
+    """The merge order itself: best score first, then leftmost."""
+    parts = list(text)
+    while True:
+        near = [(-machine.spec.pieces[k][1], i) for i in range(len(parts) - 1) if (k := machine.merges.ids.get(parts[i] + parts[i + 1])) is not None]
+        if not near:
+            return parts
+        i = min(near)[1]
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+
+
+def test_pair_weights_follow_the_merge_order(machine):
+    rng = random.Random(7)
+    names = [p for p, _, _ in machine.spec.pieces]
+    real = [i for i, (p, _, kind) in enumerate(machine.spec.pieces) if kind == 1]
+    for piece in rng.sample(real, 3000):
+        assert (machine.merges.of(piece) is not None) == (merged(machine, names[piece]) == [names[piece]])
+    short = [i for i in real if len(names[i]) < 5]
+    for _ in range(20_000):
+        a, b = rng.choice(short), rng.choice(short)
+        assert machine.merges.apart(a, b) == (merged(machine, names[a] + names[b]) == [names[a], names[b]]), (names[a], names[b])
+
+
+def test_normaliser_with_collapsed_gaps():
+    spec = pieces.Spec(collapse=True)
+    for text in ("a", "  a  b ", "   ", "", "a\n  b", " a"):
+        want = " ".join(x for x in text.split(" ") if x)
+        got = pieces.Normaliser(spec).compose(text, pieces.BEFORE)[0]
+        assert got == (("▁" + want.replace(" ", "▁")) if want else "")
