@@ -1,13 +1,14 @@
 """Quality classifier: gated-attention multiple-instance learning over the passages of a document.
 
-A text is cut into at most PASSAGES passages of equal length, of about PASSAGE bytes while that
-suffices. Each is encoded from counts of byte classes and words (never label, language, source or
+A text is cut into passages of equal length, of PASSAGE bytes at most, whatever their number. Each is encoded from counts of byte classes and words (never label, language, source or
 id). A learned tanh layer turns them into representations, gated attention weighs them, and a
 logistic unit scores the weighted sum. Only documents are labelled; numpy and Adam fit all
 parts together on the driver.
 
 The labelled rows learned from are a bounded sample: those of the training fold with the
-smallest hashes of doc_id, ``max_docs`` at most; of rows that share an id, the least text. Every text is scored, and whole.
+smallest hashes of doc_id, ``max_docs`` at most, and of each ``BAG`` passages at most, evenly spaced; of rows that share an id, the
+least text, of labels that differ the greatest. Every text is scored, and whole: passages are
+scored in blocks of bounded size, and a running softmax joins the blocks of a text exactly.
 
 Null texts count as empty; an empty text is one passage without content and gets a score like
 any other. Label rows that are null or lack a document are ignored; without two classes to learn
@@ -16,6 +17,7 @@ from, every score is the share of label 1 (0.5 without labels). Repeated rows sc
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,7 +26,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from driftwell.llm.common import crc32_mod, free, map_texts, table
 
-PASSAGE, PASSAGES = 600, 64
+PASSAGE = 600
+BAG = 64  # passages of a labelled document that are learned from
 CHUNK = 2_000_000  # bytes of passages that are counted at once, unless one has more
 FOLDS = 5
 THRESHOLD = 0.3
@@ -39,22 +42,27 @@ KINDS = len(_CLASSES) + 2
 WIDTH = KINDS + 9
 
 
-def passages(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Features of all passages, and the number of passages of each text."""
+def blocks(raws: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Features of all passages in order, and the text of each, some CHUNK bytes at a time."""
     sizes = np.array([len(r) for r in raws], np.int64)
-    counts = np.clip(-(-sizes // PASSAGE), 1, PASSAGES)
+    counts = np.maximum(1, -(-sizes // PASSAGE))
     owner = np.repeat(np.arange(len(raws)), counts)
     k = np.arange(int(counts.sum())) - np.repeat(counts.cumsum() - counts, counts)
     length = sizes[owner] * (k + 1) // counts[owner] - sizes[owner] * k // counts[owner]
     buf = np.frombuffer(b"".join(raws), np.uint8)
     upto = np.concatenate(([0], length.cumsum()))
-    parts, i = [], 0
+    i = 0
     while i < len(length):  # bounds the working arrays
         j = max(i + 1, int(np.searchsorted(upto, upto[i] + CHUNK, side="right")) - 1)
-        parts.append(_features(buf[upto[i] : upto[j]], length[i:j]))
+        yield np.column_stack((_features(buf[upto[i] : upto[j]], length[i:j]), np.log1p(sizes[owner[i:j]]) / 10)), owner[i:j]
         i = j
-    features = np.concatenate(parts) if parts else np.zeros((0, WIDTH - 1))
-    return np.column_stack((features, np.log1p(sizes[owner]) / 10)), counts
+
+
+def passages(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Features of all passages, and the number of passages of each text."""
+    parts = list(blocks(raws))
+    features = np.concatenate([x for x, _ in parts]) if parts else np.zeros((0, WIDTH))
+    return features, np.bincount(np.concatenate([o for _, o in parts]), minlength=len(raws)) if parts else np.zeros(0, np.int64)
 
 
 def _features(buf: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -93,27 +101,48 @@ def _features(buf: np.ndarray, length: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Attention:
-    """Parameters; ``score`` takes the passages of many texts at once."""
+    """Parameters; ``score`` takes many texts at once."""
 
     mean: np.ndarray
     scale: np.ndarray
     w: dict
     prior: float | None = None
 
-    def parts(self, x: np.ndarray, counts: np.ndarray) -> dict:
+    def encoded(self, x: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Scaled features, representations, the gate's two halves, and the logit of each passage's weight."""
         w = self.w
         x = np.clip((x - self.mean) / self.scale, -6, 6)
         h = np.tanh(x @ w["we"] + w["be"])
         v, u = np.tanh(h @ w["wv"] + w["bv"]), 1 / (1 + np.exp(-(h @ w["wu"] + w["bu"])))
-        a = (v * u) @ w["wa"]
+        return x, h, v, u, (v * u) @ w["wa"]
+
+    def probability(self, z: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(z @ self.w["wo"] + self.w["bo"], -30, 30)))
+
+    def parts(self, x: np.ndarray, counts: np.ndarray) -> dict:
+        x, h, v, u, a = self.encoded(x)
         at = counts.cumsum() - counts
         a = np.exp(a - np.repeat(np.maximum.reduceat(a, at), counts))
         a /= np.repeat(np.add.reduceat(a, at), counts)
         z = np.add.reduceat(h * a[:, None], at)
-        return {"x": x, "h": h, "v": v, "u": u, "a": a, "z": z, "p": 1 / (1 + np.exp(-np.clip(z @ w["wo"] + w["bo"], -30, 30)))}
-
-    def score(self, x: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        return np.full(len(counts), self.prior) if self.prior is not None else self.parts(x, counts)["p"]
+        return {"x": x, "h": h, "v": v, "u": u, "a": a, "z": z, "p": self.probability(z)}
+
+    def score(self, raws: list[bytes]) -> np.ndarray:
+        """The score of each text; passages come in blocks, and each text keeps its greatest logit, its sum of weights and its weighted sum."""
+        if self.prior is not None:
+            return np.full(len(raws), self.prior)
+        most, total, z = np.full(len(raws), -np.inf), np.zeros(len(raws)), np.zeros((len(raws), len(self.w["wo"])))
+        for x, owner in blocks(raws):
+            _, h, _, _, a = self.encoded(x)
+            at = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+            own = owner[at]
+            top = np.maximum(most[own], np.maximum.reduceat(a, at))
+            old = np.exp(most[own] - top)
+            a = np.exp(a - np.repeat(top, np.diff(np.append(at, len(owner)))))
+            total[own] = total[own] * old + np.add.reduceat(a, at)
+            z[own] = z[own] * old[:, None] + np.add.reduceat(h * a[:, None], at)
+            most[own] = top
+        return self.probability(z / total[:, None])
 
 
 def fit(x: np.ndarray, counts: np.ndarray, y: np.ndarray, hidden: int = 16, gates: int = 8, steps: int = 200, rate: float = 0.02, decay: float = 1e-4, seed: int = 3) -> Attention:
@@ -155,7 +184,8 @@ def learn(docs: DataFrame, labels: DataFrame, max_docs: int = 2500, seed: int =
     def run(part, texts):
         x, counts = passages([t.encode("utf-8", "replace") for t in texts])
         ends = counts.cumsum()
-        return {"doc_id": part.column("doc_id"), "quality": part.column("quality"), "features": pa.array([x[e - c : e].astype("<f4").tobytes() for e, c in zip(ends, counts)], pa.binary())}
+        bags = [x[e - c : e] if c <= BAG else x[e - c + np.arange(BAG) * c // BAG] for e, c in zip(ends, counts)]
+        return {"doc_id": part.column("doc_id"), "quality": part.column("quality"), "features": pa.array([b.astype("<f4").tobytes() for b in bags], pa.binary())}
 
     kinds = {f.name: f.dataType.simpleString() for f in found.schema}
     rows = map_texts(found, run, f"doc_id {kinds['doc_id']}, quality {kinds['quality']}, features binary", limit=1_000_000).collect()
@@ -171,7 +201,7 @@ def scored(docs: DataFrame, model: Attention, keep: list[str]) -> DataFrame:
     name = free("quality_score", keep)
 
     def run(part, texts):
-        return {**{c: part.column(c) for c in keep}, name: model.score(*passages([t.encode("utf-8", "replace") for t in texts])) if texts else []}
+        return {**{c: part.column(c) for c in keep}, name: model.score([t.encode("utf-8", "replace") for t in texts])}
 
     given = docs.select(*dict.fromkeys([*keep, "text"]))
     schema = T.StructType([given.schema[c] for c in keep] + [T.StructField(name, T.DoubleType())])
