@@ -38,8 +38,8 @@ def _parser() -> argparse.ArgumentParser:
     command("build-artifact", fixture=None, collection=None, output=None, **ks, stable_k=2, boundary_k=1, **names)
     command("compare-artifacts", source=None, target=None, artifact_dir=None, job_id="artifact-compare")
     command("compare", source=None, target=None, output=None, job_id="compare")
-    command("migrate", source=None, target=None, dimension=0, batch_size=100, single_precision=False, **names)
-    command("migrate-and-verify", fixture=None, source=None, target=None, dimension=0, artifact_dir=None, job_id="migrate-and-verify", single_precision=False, **ks, stable_k=2, boundary_k=1, **names)
+    command("migrate", source=None, target=None, dimension=0, batch_size=100, single_precision=False, order_column="", **names)
+    command("migrate-and-verify", fixture=None, source=None, target=None, dimension=0, artifact_dir=None, job_id="migrate-and-verify", single_precision=False, order_column="", **ks, stable_k=2, boundary_k=1, **names)
     return top
 
 
@@ -53,7 +53,8 @@ def _outcome(o: jobs.Outcome) -> list[tuple[str, object]]:
 def run(spark: SparkSession, args: argparse.Namespace) -> list[tuple[str, object]]:
     """The command's summary as (name, value) lines."""
     a = args
-    opened = lambda where: collections.opened(spark, where, id_column=a.id_column, vector_column=a.vector_column, single_precision=getattr(a, "single_precision", False))
+    opened = lambda where: collections.opened(spark, where, id_column=a.id_column, vector_column=a.vector_column, single_precision=getattr(a, "single_precision", False), order_column=getattr(a, "order_column", ""))
+    plain = lambda where: collections.opened(spark, where, id_column=a.id_column, vector_column=a.vector_column, single_precision=a.single_precision)
     if a.command == "generate-synthetic-fixture":
         return [("fixture", datasets.write(spark, a.output, a.seed, a.dimension, a.records, a.queries, a.metric))]
     if a.command == "offline-verify":
@@ -79,10 +80,10 @@ def run(spark: SparkSession, args: argparse.Namespace) -> list[tuple[str, object
         summary = compare(*(artifacts.read_fingerprints(spark, p) for p in (a.source, a.target))).head().asDict()
         return [("output", artifacts.write_output(summary, a.output, a.job_id, spark)), ("consistency_score", f"{summary['consistency_score']:.6f}")]
     if a.command == "migrate":
-        m = jobs.migrate(opened(a.source), opened(a.target), a.dimension, a.batch_size)
+        m = jobs.migrate(opened(a.source), plain(a.target), a.dimension, a.batch_size)
         return [("source", a.source), ("target", a.target), ("dimension", m.dimension), ("records_read", m.records_read), ("records_written", m.records_written)]
     s = jobs.Settings(a.top_k, a.expand_k, a.stable_k, a.boundary_k, a.metric)
-    m, o = jobs.migrate_and_verify(spark, opened(a.source), opened(a.target), datasets.queries(datasets.read(spark, a.fixture)), a.artifact_dir, a.dimension, s, a.job_id)
+    m, o = jobs.migrate_and_verify(spark, opened(a.source), plain(a.target), datasets.queries(datasets.read(spark, a.fixture)), a.artifact_dir, a.dimension, s, a.job_id)
     return [("source", a.source), ("target", a.target), ("dimension", m.dimension), ("records_read", m.records_read), ("records_written", m.records_written), *_outcome(o)]
 
 

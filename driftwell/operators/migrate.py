@@ -15,9 +15,9 @@ def stored(records: DataFrame, single_precision: bool = False) -> DataFrame:
 
 
 def last_wins(records: DataFrame, order: str | None = None) -> DataFrame:
-    """One row for each id: that with the greatest ``order``."""
+    """One row for each id: that with the greatest ``order``. Without an order a repeated id is an error: no row of it is the last."""
     if order is None:
-        return records.dropDuplicates(["id"])
+        return checks.unique(records, "id")
     place = F.row_number().over(W.partitionBy("id").orderBy(F.col(order).desc()))
     return records.withColumn("_place", place).filter("_place = 1").drop("_place")
 

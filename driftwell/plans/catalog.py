@@ -1,11 +1,13 @@
 """Every registered query of the library and the SQL that states the same rows.
 
-Queries run on the tables of a folder: the vectors of ``embeddings`` with ids below NQ as query
-vectors, rankings of customers by nation where no vectors are needed.
+Queries run on the whole tables of a folder. The query vectors of searches are those of
+``embeddings`` whose id is divisible by 50 (EVERY), against all rows; where a comparison has queries
+without a partner, one side has every other one of them. Rankings of customers by nation or region serve where no vectors are needed.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -13,9 +15,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from driftwell.functions import sets, vectors
 from driftwell.operators import checks, compare, fingerprint, migrate, search
 from driftwell.plans import jobs
-from driftwell.sources import datasets
+from driftwell.sources import artifacts, collections, datasets, files
 
-NQ, TOP, EXPAND, STABLE, BOUND = 20, 10, 12, 5, 2
+TOP, EXPAND, STABLE, BOUND = 10, 12, 5, 2
+EVERY, SOME, OTHERS = "id % 50 = 0", "id % 100 = 0", "id % 100 = 50"
 S = jobs.Settings(TOP, EXPAND, STABLE, BOUND, "cosine")
 
 
@@ -27,9 +30,8 @@ def _corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), vectors.doubles("embedding").alias("vector"))
 
 
-def _queries(spark: SparkSession, sf_dir: str, below: int = NQ) -> DataFrame:
-    """The comparison reaches the scan as a pushed filter."""
-    return _corpus(spark, sf_dir).filter(F.col("id") < below)
+def _queries(spark: SparkSession, sf_dir: str, which: str = EVERY) -> DataFrame:
+    return _corpus(spark, sf_dir).filter(which)
 
 
 def _coarse(corpus: DataFrame) -> DataFrame:
@@ -49,13 +51,13 @@ def _hits(metric: str):
 
 
 def _single(spark, sf_dir):
-    one = _queries(spark, sf_dir).filter("id = 7")
+    one = _queries(spark, sf_dir, "id = 50")
     return _rounded(search.exact_knn(one, _corpus(spark, sf_dir), "cosine", 5).withColumn("rank", F.col("rank").cast("long")), "score")
 
 
-def _prints(spark, sf_dir, coarse: bool = False, metric: str = "cosine", below: int = NQ, corpus: DataFrame | None = None) -> DataFrame:
+def _prints(spark, sf_dir, coarse: bool = False, metric: str = "cosine", which: str = EVERY, corpus: DataFrame | None = None) -> DataFrame:
     rows = _corpus(spark, sf_dir) if corpus is None else corpus
-    return jobs.fingerprints(_queries(spark, sf_dir, below), _coarse(rows) if coarse else rows, jobs.Settings(TOP, EXPAND, STABLE, BOUND, metric), guard=False)
+    return jobs.fingerprints(_queries(spark, sf_dir, which), _coarse(rows) if coarse else rows, jobs.Settings(TOP, EXPAND, STABLE, BOUND, metric), guard=False)
 
 
 def _listed(column: str):
@@ -95,25 +97,25 @@ def _disjoint(spark, sf_dir):
     return _rounded(compare.compare(_prints(spark, sf_dir), target, check=False), *_SUMMARY)
 
 
-def _score(spark, sf_dir):
-    return _summary({}, {"coarse": True})(spark, sf_dir).select("consistency_score")
-
-
-def _ranking(rows: DataFrame, key, order, value) -> DataFrame:
-    return rows.select(key.alias("query_id"), order.alias("id"), value.alias("score"))
+def _customers(spark, sf_dir, by: str) -> DataFrame:
+    """Customers with the nation or region that their ranking belongs to."""
+    c = _table(spark, sf_dir, "customer")
+    if by == "nation":
+        return c.withColumn("query_id", F.col("c_nationkey"))
+    nations = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_regionkey").alias("query_id"))
+    return c.join(F.broadcast(nations), "c_nationkey")  # the 25 nations
 
 
-def _by_balance(spark, sf_dir) -> DataFrame:
-    c = _table(spark, sf_dir, "customer")
-    rows = _ranking(c, F.col("c_nationkey"), F.col("c_custkey"), F.col("c_acctbal"))
+def _by_balance(spark, sf_dir, by: str = "nation") -> DataFrame:
+    rows = _customers(spark, sf_dir, by).select("query_id", F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("score"))
     return search.ranked(rows, [F.col("score").desc_nulls_last(), F.col("id")], EXPAND)
 
 
-def _by_orders(spark, sf_dir) -> DataFrame:
+def _by_orders(spark, sf_dir, by: str = "nation") -> DataFrame:
     """Orders are summed by customer before the join."""
     spent = _table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.sum(F.round(F.col("o_totalprice") * 100).cast("long")).alias("spent"))
-    c = _table(spark, sf_dir, "customer").join(spent, F.col("c_custkey") == F.col("o_custkey"))
-    rows = _ranking(c, F.col("c_nationkey"), F.col("c_custkey"), F.col("spent").cast("double"))
+    c = _customers(spark, sf_dir, by).join(spent, F.col("c_custkey") == F.col("o_custkey"))
+    rows = c.select("query_id", F.col("c_custkey").alias("id"), F.col("spent").cast("double").alias("score"))
     return search.ranked(rows, [F.col("score").desc_nulls_last(), F.col("id")], EXPAND)
 
 
@@ -136,10 +138,11 @@ def _weighted(spark, sf_dir):
 
 
 def _moved(spark, sf_dir) -> DataFrame:
-    """Records to write: every third vector, coarse, and some of them once more, later and negated."""
-    rows = _corpus(spark, sf_dir).filter("id % 3 = 0")
+    """Records to write: every vector, coarse and under its own id; those with even ids once more, later, negated; and each once more under a new id."""
+    rows = _corpus(spark, sf_dir)
     again = rows.filter("id % 2 = 0").withColumn("vector", F.transform("vector", lambda x: -x))
-    return _coarse(rows).withColumn("ord", F.lit(1)).unionByName(again.withColumn("ord", F.lit(2)))
+    new = rows.withColumn("id", -F.col("id") - 1)
+    return _coarse(rows).withColumn("ord", F.lit(1)).unionByName(again.withColumn("ord", F.lit(2))).unionByName(new.withColumn("ord", F.lit(1)))
 
 
 def _flat(rows: DataFrame) -> DataFrame:
@@ -148,15 +151,97 @@ def _flat(rows: DataFrame) -> DataFrame:
 
 
 def _upsert(spark, sf_dir):
-    return _flat(migrate.upsert(_corpus(spark, sf_dir).filter("id % 2 = 0"), _moved(spark, sf_dir), "ord"))
+    """Into all vectors; what it leaves of the target alone are the records without an odd id of their own."""
+    return _flat(migrate.upsert(_corpus(spark, sf_dir), _moved(spark, sf_dir).filter("id < 0 or ord = 2"), "ord"))
 
 
 def _replace(spark, sf_dir):
     return _flat(migrate.replace(_moved(spark, sf_dir), "ord"))
 
 
-def _last(spark, sf_dir):
-    return _flat(migrate.last_wins(_moved(spark, sf_dir), "ord"))
+def _collections(spark, sf_dir):
+    """The way users take: records with repeated ids from one collection to another, in the source's order."""
+    folder = files.shared_folder(spark)
+    source, target = (collections.ParquetCollection(spark, f"{folder}/{n}", order_column=o) for n, o in (("source", "ord"), ("target", "")))
+    target.replace(_corpus(spark, sf_dir))
+    _moved(spark, sf_dir).withColumnRenamed("vector", "embedding").write.parquet(source.path)
+    jobs.migrate(source, target, 64)
+    return _flat(target.read())
+
+
+def _document(spark, repeats: int = 0) -> str:
+    """A dataset document of 100 records; the first ``repeats`` come again at the end, negated."""
+    path = datasets.write(spark, f"{files.shared_folder(spark)}/set.json", 42, 8, 100, 10, "l2")
+    if repeats:
+        held = json.loads("\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect()))  # one small document
+        held["records"] += [{"id": r["id"], "vector": [-x for x in r["vector"]]} for r in held["records"][:repeats]]
+        files.write_json(spark, path, held)
+    return path
+
+
+def _axes(rows: DataFrame) -> DataFrame:
+    return rows.select("id", F.posexplode("vector").alias("axis", "x")).select("id", F.col("axis").cast("long").alias("axis"), F.round("x", 6).alias("x"))
+
+
+def _dataset(spark, sf_dir):
+    return _axes(datasets.records(datasets.checked(datasets.read(spark, _document(spark)))))
+
+
+def _seeded(spark, sf_dir):
+    """A dataset document, whose first 40 records come twice, merged into a collection that holds its first state."""
+    target = collections.ParquetCollection(spark, f"{files.shared_folder(spark)}/items")
+    jobs.seed(spark, _document(spark), target, True)
+    jobs.seed(spark, _document(spark, 40), target, False)
+    return _axes(target.read())
+
+
+def _artifact(spark, sf_dir) -> tuple[str, str, str]:
+    """Two artifacts of the regions' rankings, and their folder."""
+    folder = files.shared_folder(spark)
+    paths = [artifacts.write_fingerprints(fingerprint.build(h(spark, sf_dir, "region"), TOP, STABLE, BOUND, check=False), f"{folder}/{n}.json") for n, h in (("source", _by_balance), ("target", _by_orders))]
+    return *paths, folder
+
+
+def _artifact_rows(spark, sf_dir):
+    rows = artifacts.read_fingerprints(spark, _artifact(spark, sf_dir)[0])
+    parts = [rows.select("query_id", F.lit(c).alias("list"), F.posexplode(c).alias("pos", "id")) for c in ("stable_neighbors", "boundary_candidates", "top_k_ids")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).withColumn("pos", F.col("pos").cast("long") + 1)
+
+
+_METRICS = ("fingerprint_distance", *_DISTANCES, "matched_query_count", "missing_source_query_count", "missing_target_query_count")
+
+
+def _document_row(spark, path: str, names: dict[str, str]) -> DataFrame:
+    kinds = ", ".join(f"{n} {'long' if n.lower().endswith('count') else 'double'}" for n in names)
+    row = spark.read.schema(f"job_id string, consistency_score double, metrics struct<{kinds}>").option("multiLine", True).json(path)
+    return _rounded(row.select("job_id", "consistency_score", *(F.col(f"metrics.{n}").alias(c) for n, c in names.items())), "consistency_score", "fingerprint_distance", *_DISTANCES)
+
+
+def _result(spark, sf_dir):
+    source, target, folder = _artifact(spark, sf_dir)
+    return _document_row(spark, jobs.compare_artifacts(spark, source, target, folder, "regions").result, artifacts.RESULT_NAMES)
+
+
+def _output(spark, sf_dir):
+    source, target, folder = _artifact(spark, sf_dir)
+    summary = compare.compare(*(artifacts.read_fingerprints(spark, p) for p in (source, target))).head().asDict()
+    return _document_row(spark, artifacts.write_output(summary, f"{folder}/out.json", "regions", spark), {c: c for c in _METRICS})
+
+
+def _offline(spark, sf_dir):
+    """A fixture of the regions' hits on both sides, verified."""
+    folder, sides = files.shared_folder(spark), {}
+    for name, hits in (("source_hits", _by_balance), ("target_hits", _by_orders)):
+        for r in hits(spark, sf_dir, "region").orderBy("query_id", "rank").collect():  # EXPAND hits of each region
+            sides.setdefault(r["query_id"], {"query_id": f"region {r['query_id']}", "source_hits": [], "target_hits": []})[name].append({"id": str(r["id"]), "rank": r["rank"], "score": r["score"]})
+    path = files.write_json(spark, f"{folder}/fixture.json", {"job_id": "regions", "top_k": TOP, "expand_k": EXPAND, "stable_k": STABLE, "boundary_k": BOUND, "queries": list(sides.values())})
+    return _document_row(spark, jobs.offline_verify(spark, path, folder).result, artifacts.RESULT_NAMES)
+
+
+def _nothing(spark, sf_dir):
+    """Two sets without a fingerprint: every distance is 1."""
+    none = _prints(spark, sf_dir).limit(0)
+    return _rounded(compare.compare(none, none, check=False), *_SUMMARY)
 
 
 def _broken(spark, sf_dir) -> DataFrame:
@@ -169,6 +254,12 @@ def _rule(name: str):
     return lambda spark, sf_dir: checks.violations(_broken(spark, sf_dir), 64).filter(F.col("rule") == name).agg(F.count("*").alias("n"))
 
 
+def _rules(spark, sf_dir):
+    """All rules at once, on the corpus with faults, every 13th id of which is empty."""
+    rows = _broken(spark, sf_dir).withColumn("id", F.when(F.col("id") % 13 == 0, "").otherwise(F.col("id").cast("string")))
+    return checks.violations(rows, 64).groupBy("rule").agg(F.count("*").alias("n"))
+
+
 def _duplicates(spark, sf_dir):
     return checks.duplicates(_moved(spark, sf_dir), "id")
 
@@ -193,9 +284,8 @@ def _single_precision(spark, sf_dir):
 
 
 def _synthetic(spark, sf_dir):
-    """Seed 42; 1000 rows at every table size, as the SQL states."""
-    rows = datasets.generated(spark, 42, 8, 1000, "l2")
-    return rows.select("id", F.posexplode("vector").alias("axis", "x")).select("id", F.col("axis").cast("long").alias("axis"), F.round("x", 6).alias("x"))
+    """Seed 42; as many rows as the table has vectors."""
+    return _axes(datasets.generated(spark, 42, 8, max(1, _corpus(spark, sf_dir).count()), "l2"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -215,9 +305,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "flip_rate": _one("boundary_flip_rate"),
     "compare_per_query": lambda spark, sf_dir: _rounded(_each(spark, sf_dir), *_DISTANCES),
     "compare_summary": _summary({}, {"coarse": True}),
-    "consistency_score": _score,
-    "compare_missing_target": _summary({}, {"coarse": True, "below": NQ - 5}),
-    "compare_missing_source": _summary({"below": NQ - 7}, {"coarse": True}),
+    "compare_missing_target": _summary({}, {"coarse": True, "which": SOME}),
+    "compare_missing_source": _summary({"which": OTHERS}, {"coarse": True}),
     "compare_disjoint": _disjoint,
     "compare_identical": _summary({}, {}),
     "compare_incomplete_corpus": _summary({}, {"corpus": lambda spark, sf_dir: _corpus(spark, sf_dir).filter("id % 10 <> 0")}),
@@ -228,7 +317,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "weighted_distance_custom": _weighted,
     "migrate_upsert": _upsert,
     "migrate_overwrite": _replace,
-    "migrate_dedupe_last_wins": _last,
+    "migrate_collections": _collections,
+    "dataset_document": _dataset,
+    "seed_repeated_ids": _seeded,
+    "artifact_roundtrip": _artifact_rows,
+    "result_document": _result,
+    "output_document": _output,
+    "offline_fixture": _offline,
+    "compare_nothing": _nothing,
+    "violations_by_rule": _rules,
     "validate_dimension": _rule("dimension"),
     "validate_finite": _rule("not finite"),
     "duplicate_ids": _duplicates,
@@ -247,7 +344,7 @@ _GAP = {"cosine": "1 - list_cosine_similarity(q.v, c.v)", "l2": "list_distance(q
 _SCORE = {"cosine": "1 - gap", "l2": "0 - gap", "ip": "0 - gap"}
 
 
-def _hits_cte(name: str, corpus: str, metric: str = "cosine", limit: int = EXPAND, where: str = f"id < {NQ}") -> str:
+def _hits_cte(name: str, corpus: str, metric: str = "cosine", limit: int = EXPAND, where: str = EVERY) -> str:
     return f"""{name} AS (SELECT query_id, id, rank, {_SCORE[metric]} AS score FROM (
         SELECT q.id AS query_id, c.id AS id, {_GAP[metric]} AS gap, row_number() OVER (PARTITION BY q.id ORDER BY {_GAP[metric]}, c.id) AS rank
         FROM (SELECT * FROM c WHERE {where}) q, ({corpus}) c) WHERE rank <= {limit})"""
@@ -282,7 +379,7 @@ def _summary_sql(weights: dict | None = None) -> str:
         FROM (SELECT *, greatest(0.0, least(1.0, ({total}) / {sum(weights.values())}))::DOUBLE AS d FROM (SELECT {means}, {counts} FROM p))"""
 
 
-def _compare_sql(tail: str, source: str = "SELECT * FROM c", target: str = _COARSE, s_metric: str = "cosine", t_metric: str = "cosine", s_where: str = f"id < {NQ}", t_where: str = f"id < {NQ}", shift: int = 0) -> str:
+def _compare_sql(tail: str, source: str = "SELECT * FROM c", target: str = _COARSE, s_metric: str = "cosine", t_metric: str = "cosine", s_where: str = EVERY, t_where: str = EVERY, shift: int = 0) -> str:
     t = _prints_cte("t", f"(SELECT query_id + {shift} AS query_id, id, rank FROM ht)" if shift else "ht")
     return f"WITH c AS ({_VECTORS}), {_hits_cte('hs', source, s_metric, where=s_where)}, {_hits_cte('ht', target, t_metric, where=t_where)}, {_prints_cte('s', 'hs')}, {t}, {_PAIR} {tail}"
 
@@ -295,27 +392,42 @@ def _list_sql(low: int, high: int) -> str:
     return f"WITH c AS ({_VECTORS}), {_hits_cte('h', 'SELECT * FROM c')} SELECT query_id, rank - {low - 1} AS pos, id FROM h WHERE rank BETWEEN {low} AND {high}"
 
 
-_BALANCE = f"""hb AS (SELECT * FROM (SELECT c_nationkey AS query_id, c_custkey AS id, c_acctbal AS score, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC NULLS LAST, c_custkey) AS rank FROM customer) WHERE rank <= {EXPAND})"""
-_SPENT = f"""ho AS (SELECT * FROM (SELECT c_nationkey AS query_id, c_custkey AS id, row_number() OVER (PARTITION BY c_nationkey ORDER BY spent DESC, c_custkey) AS rank
-    FROM customer JOIN (SELECT o_custkey, sum(round(o_totalprice * 100)::BIGINT) AS spent FROM orders GROUP BY o_custkey) ON c_custkey = o_custkey) WHERE rank <= {EXPAND})"""
-_MOVED = f"""c AS ({_VECTORS}), m AS (SELECT id, list_transform(v, lambda x: floor(x * 8) / 8) AS v, 1 AS ord FROM c WHERE id % 3 = 0
-    UNION ALL SELECT id, list_transform(v, lambda x: -x), 2 FROM c WHERE id % 6 = 0), l AS (SELECT id, v FROM m QUALIFY row_number() OVER (PARTITION BY id ORDER BY ord DESC) = 1)"""
+def _balance(key: str = "c_nationkey", rows: str = "customer") -> str:
+    return f"""hb AS (SELECT * FROM (SELECT {key} AS query_id, c_custkey AS id, c_acctbal AS score, row_number() OVER (PARTITION BY {key} ORDER BY c_acctbal DESC NULLS LAST, c_custkey) AS rank FROM {rows}) WHERE rank <= {EXPAND})"""
+
+
+def _spent(key: str = "c_nationkey", rows: str = "customer") -> str:
+    return f"""ho AS (SELECT * FROM (SELECT {key} AS query_id, c_custkey AS id, row_number() OVER (PARTITION BY {key} ORDER BY spent DESC, c_custkey) AS rank
+    FROM {rows} JOIN (SELECT o_custkey, sum(round(o_totalprice * 100)::BIGINT) AS spent FROM orders GROUP BY o_custkey) ON c_custkey = o_custkey) WHERE rank <= {EXPAND})"""
+
+
+_REGIONAL = ("n_regionkey", "customer JOIN nation ON c_nationkey = n_nationkey")
+_BALANCE, _SPENT = _balance(), _spent()
+_MOVED = f"""c AS ({_VECTORS}), m AS (SELECT id, list_transform(v, lambda x: floor(x * 8) / 8) AS v, 1 AS ord FROM c UNION ALL SELECT id, list_transform(v, lambda x: -x), 2 FROM c WHERE id % 2 = 0
+    UNION ALL SELECT -id - 1, v, 1 FROM c), l AS (SELECT id, v FROM m QUALIFY row_number() OVER (PARTITION BY id ORDER BY ord DESC) = 1)"""
 _FLAT = "SELECT id, round(v[1], 6) AS first, round(sqrt(list_sum(list_transform(v, lambda x: x * x))), 6) AS norm FROM"
 _FIRST, _LAST = fingerprint.window_bounds(TOP, BOUND)
 
 
-def _noise_sql(seed: int) -> str:
+def _noise_sql(seed: int, rows: str = "(SELECT greatest(count(*), 1) FROM embeddings)", x: str = "x3::DOUBLE / {prime} * 2 - 1") -> str:
     start = f"(({seed * 1000003 + 15485863 + 12345} + id * 104729 + axis * 1299709) % {datasets.PRIME})"
     step = lambda x: f"((({x}) * ({x}) + s + 1013904223) % {datasets.PRIME})"
-    return f"""WITH g AS (SELECT id, axis, {start}::BIGINT AS s FROM range(1, 1001) a(id), range(8) b(axis)), g1 AS (SELECT *, {step('s')} AS x1 FROM g), g2 AS (SELECT *, {step('x1')} AS x2 FROM g1), g3 AS (SELECT *, {step('x2')} AS x3 FROM g2)
-        SELECT printf('vec-%06d', id) AS id, axis, round(x3::DOUBLE / {datasets.PRIME} * 2 - 1, 6) AS x FROM g3"""
+    return f"""WITH g AS (SELECT id, axis, {start}::BIGINT AS s FROM (SELECT unnest(range(1, {rows} + 1)) AS id), range(8) b(axis)), g1 AS (SELECT *, {step('s')} AS x1 FROM g), g2 AS (SELECT *, {step('x1')} AS x2 FROM g1), g3 AS (SELECT *, {step('x2')} AS x3 FROM g2)
+        SELECT printf('vec-%06d', id) AS id, axis, round({x.format(prime=datasets.PRIME)}, 6) AS x FROM g3"""
+
+
+def _regions_sql(tail: str) -> str:
+    return f"WITH {_balance(*_REGIONAL)}, {_spent(*_REGIONAL)}, {_prints_cte('s', 'hb')}, {_prints_cte('t', 'ho')}, {_PAIR} {tail}"
+
+
+_REGIONS = _regions_sql(f"SELECT 'regions' AS job_id, consistency_score, {', '.join(_METRICS)} FROM ({_summary_sql()})")
 
 
 ORACLES: dict[str, str] = {
     "knn_cosine": _knn_sql("cosine"),
     "knn_l2": _knn_sql("l2"),
     "knn_ip": _knn_sql("ip"),
-    "knn_single_query": f"WITH c AS ({_VECTORS}), {_hits_cte('h', 'SELECT * FROM c', limit=5, where='id = 7')} SELECT query_id, id, rank, round(score, 6) AS score FROM h",
+    "knn_single_query": f"WITH c AS ({_VECTORS}), {_hits_cte('h', 'SELECT * FROM c', limit=5, where='id = 50')} SELECT query_id, id, rank, round(score, 6) AS score FROM h",
     "ranked_hits_precomputed": f"WITH {_BALANCE} SELECT query_id, id, rank, round(score, 6) AS score FROM hb WHERE rank <= {TOP}",
     "corpus_count": "SELECT count(*) AS n FROM embeddings",
     "label_count": "SELECT label, count(*) AS n FROM embeddings GROUP BY label",
@@ -329,9 +441,8 @@ ORACLES: dict[str, str] = {
     "flip_rate": _compare_sql("SELECT query_id, round(boundary_flip_rate, 6) AS boundary_flip_rate FROM p"),
     "compare_per_query": _compare_sql(_ROUND),
     "compare_summary": _compare_sql(_summary_sql()),
-    "consistency_score": _compare_sql(f"SELECT consistency_score FROM ({_summary_sql()})"),
-    "compare_missing_target": _compare_sql(_summary_sql(), t_where=f"id < {NQ - 5}"),
-    "compare_missing_source": _compare_sql(_summary_sql(), s_where=f"id < {NQ - 7}"),
+    "compare_missing_target": _compare_sql(_summary_sql(), t_where=SOME),
+    "compare_missing_source": _compare_sql(_summary_sql(), s_where=OTHERS),
     "compare_disjoint": _compare_sql(_summary_sql(), shift=1000000),
     "compare_identical": _compare_sql(_summary_sql(), target="SELECT * FROM c"),
     "compare_incomplete_corpus": _compare_sql(_summary_sql(), target="SELECT * FROM c WHERE id % 10 <> 0"),
@@ -340,9 +451,18 @@ ORACLES: dict[str, str] = {
     "compare_own_weights": _compare_sql(_summary_sql(_OWN_WEIGHTS)),
     "ranking_drift_nation": f"WITH {_BALANCE}, {_SPENT}, {_prints_cte('s', 'hb')}, {_prints_cte('t', 'ho')}, {_PAIR} {_ROUND}",
     "weighted_distance_custom": _compare_sql("SELECT query_id, round((stable_neighbor_distance * 1 + boundary_flip_rate * 3) / 4, 6) AS distance FROM p"),
-    "migrate_upsert": f"WITH {_MOVED} {_FLAT} (SELECT id, v FROM c WHERE id % 2 = 0 AND id NOT IN (SELECT id FROM l) UNION ALL SELECT id, v FROM l)",
+    "migrate_upsert": f"WITH {_MOVED} {_FLAT} (SELECT id, v FROM c WHERE id % 2 <> 0 UNION ALL SELECT id, v FROM l WHERE id < 0 OR id % 2 = 0)",
     "migrate_overwrite": f"WITH {_MOVED} {_FLAT} l",
-    "migrate_dedupe_last_wins": f"WITH {_MOVED} {_FLAT} l",
+    "migrate_collections": f"WITH {_MOVED} {_FLAT} (SELECT id, v FROM c WHERE id NOT IN (SELECT id FROM l) UNION ALL SELECT id, v FROM l)",
+    "dataset_document": _noise_sql(42, "100"),
+    "seed_repeated_ids": _noise_sql(42, "100", "CASE WHEN id <= 40 THEN -1 ELSE 1 END * (x3::DOUBLE / {prime} * 2 - 1)"),
+    "artifact_roundtrip": f"""WITH {_balance(*_REGIONAL)} SELECT query_id::VARCHAR AS query_id, list, rank - first + 1 AS pos, id::VARCHAR AS id
+        FROM hb JOIN (VALUES ('stable_neighbors', 1, {STABLE}), ('boundary_candidates', {_FIRST}, {_LAST}), ('top_k_ids', 1, {TOP})) w(list, first, last) ON rank BETWEEN first AND last""",
+    "result_document": _REGIONS,
+    "output_document": _REGIONS,
+    "offline_fixture": _REGIONS,
+    "compare_nothing": _compare_sql(_summary_sql(), s_where="false", t_where="false"),
+    "violations_by_rule": """SELECT rule, count(*) AS n FROM (SELECT CASE WHEN vec_id % 13 = 0 THEN 'empty id' WHEN vec_id % 7 = 0 THEN 'dimension' WHEN vec_id % 11 = 0 THEN 'not finite' END AS rule FROM embeddings) WHERE rule IS NOT NULL GROUP BY rule""",
     "validate_dimension": "SELECT count(*) AS n FROM embeddings WHERE vec_id % 7 = 0",
     "validate_finite": "SELECT count(*) AS n FROM embeddings WHERE vec_id % 7 <> 0 AND vec_id % 11 = 0",
     "duplicate_ids": f"WITH {_MOVED} SELECT id, count(*) AS n FROM m GROUP BY id HAVING count(*) > 1",

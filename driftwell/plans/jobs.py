@@ -79,11 +79,14 @@ class Moved:
 
 
 def migrate(source: Collection, target: Collection, dimension: int, batch_size: int = 100) -> Moved:
-    """Upsert all rows of ``source`` into ``target`` once they are checked. Spark batches by itself; the size is only checked."""
+    """Upsert all rows of ``source`` into ``target`` once they are checked. Spark batches by itself; the size is only checked.
+
+    Of rows that share an id the last in the source's order column stays; without that column they are an error.
+    """
     checks.require(batch_size > 0, "batch_size must be above 0")
     source.check()
-    rows = checks.records(source.read(), dimension)
-    written = target.merge(rows)
+    rows = checks.records(source.records(), dimension)
+    written = target.merge(rows, "pos" if "pos" in rows.columns else None)
     return Moved(dimension, written, written)
 
 
@@ -97,6 +100,6 @@ def migrate_and_verify(spark: SparkSession, source: Collection, target: Collecti
 
 
 def seed(spark: SparkSession, dataset: str, target: Collection, replace: bool) -> int:
-    """Rows of a dataset document written to ``target``: as its only rows, or merged into it."""
+    """Rows of a dataset document written to ``target``: as its only rows, or merged into it. Of records that share an id the last stays."""
     rows = datasets.records(datasets.checked(datasets.read(spark, dataset)))
-    return target.replace(rows) if replace else target.merge(rows)
+    return target.replace(rows, "pos") if replace else target.merge(rows, "pos")

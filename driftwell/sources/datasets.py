@@ -43,7 +43,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def records(dataset: DataFrame) -> DataFrame:
-    return dataset.selectExpr("inline(records)")
+    """(pos, id, vector): the records and their places in the document."""
+    return dataset.select(F.posexplode("records").alias("pos", "r")).select("pos", "r.*")
 
 
 def queries(dataset: DataFrame) -> DataFrame:

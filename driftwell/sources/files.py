@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
 from driftwell.operators.checks import require
 
 
-def _fs(spark: SparkSession, path: str):
+def place(spark: SparkSession, path: str):
+    """The file system of a path, and the path in its terms."""
     require(bool(path), "a path must not be empty")
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
@@ -17,18 +20,18 @@ def _fs(spark: SparkSession, path: str):
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    fs, where = _fs(spark, path)
+    fs, where = place(spark, path)
     return fs.exists(where)
 
 
 def is_file(spark: SparkSession, path: str) -> bool:
-    fs, where = _fs(spark, path)
+    fs, where = place(spark, path)
     return fs.exists(where) and fs.getFileStatus(where).isFile()
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> str:
     """Write one file that its owner alone may read; missing folders are made."""
-    fs, where = _fs(spark, path)
+    fs, where = place(spark, path)
     if where.getParent() is not None:
         fs.mkdirs(where.getParent())
     out = fs.create(where, True)
@@ -44,6 +47,15 @@ def write_json(spark: SparkSession, path: str, value) -> str:
     return write_text(spark, path, json.dumps(value, indent=2, ensure_ascii=False) + "\n")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A fresh folder that driver and executors share: below spark.checkpoint.dir, or on this machine where all tasks run here."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        require(spark.sparkContext.master.startswith("local"), "set spark.checkpoint.dir to a folder that driver and executors share")
+        base = f"file://{tempfile.gettempdir()}"
+    return f"{base.rstrip('/')}/driftwell-{uuid.uuid4().hex}"
+
+
 class MemoryStore:
     """Named bytes in the driver's memory, for tests."""
 
