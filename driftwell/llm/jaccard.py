@@ -28,7 +28,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from driftwell.llm.blocks import dealt, per_task
 from driftwell.llm.common import Scratch, map_texts, spread_join, table
@@ -202,8 +202,8 @@ def _by_hub(pairs: DataFrame) -> DataFrame:
     return hubs.unionByName(sized.select(name(F.pmod(F.xxhash64("id"), parts)).alias("task"), F.lit(2).alias("side"), "id"))
 
 
-def _by_bucket(met: DataFrame, groups: DataFrame, scratch: Scratch) -> DataFrame:
-    """task, side and id for buckets whose members, but for the hub, are in several groups.
+def _by_bucket(met: DataFrame, groups: DataFrame, scratch: Scratch) -> DataFrame | None:
+    """task, side and id for buckets whose members, but for the hub, are in several groups; None without such buckets.
 
     Blocks of members outside the bucket's largest group meet all blocks of the bucket.
     """
@@ -212,6 +212,8 @@ def _by_bucket(met: DataFrame, groups: DataFrame, scratch: Scratch) -> DataFrame
     sizes = members.groupBy("hash", "part").agg(F.count("*").alias("n"))
     open_ = sizes.groupBy("hash").agg(F.max_by("part", F.struct("n", "part")).alias("most"), F.sum("n").alias("rows"), F.max("n").alias("n")).filter("n < rows")
     open_ = scratch.write(open_.withColumn("few", F.expr("rows - n")), "jaccard-open")
+    if open_.isEmpty():
+        return None
     found = spread_join(members, open_, "hash", "rows", members.count()).filter("most is not null")
     few = F.expr(f"few div {BLOCK} + 1")  # blocks of members outside the largest part, numbered first
     many = F.expr(f"n div {BLOCK} + 1")
@@ -224,8 +226,19 @@ def _by_bucket(met: DataFrame, groups: DataFrame, scratch: Scratch) -> DataFrame
     return pairs.select(task.alias("task"), side.alias("side"), "id")
 
 
-def links(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, n: int = N, seed: int = 1) -> DataFrame:
-    """doc_id, class_id (least doc_id reachable by links), n_links, kept for every row."""
+def keyed(docs: DataFrame, name: str, n: int = N) -> DataFrame:
+    """The rows of ``docs`` with the key of their text's n-gram set as column ``name``."""
+    columns = docs.columns
+
+    def run(part, texts):
+        grams = [ngrams(t, n) for t in texts]
+        return {**{c: part.column(c) for c in columns}, name: pa.array([xxhash.xxh3_128_digest(g.tobytes()) if len(g) else None for g in grams], pa.binary())}
+
+    return map_texts(docs, run, T.StructType([*docs.schema.fields, T.StructField(name, T.BinaryType())]), limit=2_000_000)
+
+
+def links(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, n: int = N, seed: int = 1, with_key: bool = False) -> DataFrame:
+    """doc_id, class_id (least doc_id reachable by links), n_links, kept for every row; ``with_key`` adds set_key."""
     bands, rows = bands_for(threshold, recall)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     with Scratch(docs.sparkSession) as scratch:
@@ -252,8 +265,8 @@ def links(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL,
         tied = lambda found: found.filter("id <> to").select(F.col("id").alias("a"), F.col("to").alias("b"))
         edges = tied(verified(_by_hub(pairs), "jaccard-hubs"))
         groups = scratch.write(components(edges, "jaccard"), "jaccard-groups")
-        more = scratch.write(tied(verified(_by_bucket(met, groups, scratch), "jaccard-buckets")), "jaccard-more")
-        if not more.isEmpty():
+        left = _by_bucket(met, groups, scratch)
+        if left is not None and not (more := tied(verified(left, "jaccard-buckets"))).isEmpty():
             groups = scratch.write(components(groups.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more), "jaccard"), "jaccard-groups")
         counted = verified(dealt(groups.withColumnRenamed("component", "grp"), BLOCK).drop("grp"), "jaccard-links").groupBy("id").agg(F.sum("n").alias("n"))
         summary = classes.select("set_key", "id", "times").join(groups, "id", "left").join(counted, "id", "left")
@@ -262,7 +275,7 @@ def links(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL,
         total = classes.agg(F.sum("times")).first()[0] or 0
     out = spread_join(signed.select("doc_id", "set_key"), summary, "set_key", "times", total)
     class_id = F.coalesce("class_id", "doc_id")
-    return out.select("doc_id", class_id.alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), (F.col("doc_id") == class_id).alias("kept"))
+    return out.select("doc_id", class_id.alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), (F.col("doc_id") == class_id).alias("kept"), *(["set_key"] if with_key else []))
 
 
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

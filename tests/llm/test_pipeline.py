@@ -1,8 +1,11 @@
 import corpus_pipeline
 import numpy as np
-from driftwell.llm import pieces, quality
+import sentencepiece
+from driftwell.llm import mixing, pieces, quality
 from tests.llm.helpers import documents, folder
-from tests.llm.test_pii import TEXT
+from tests.llm.test_jaccard import brute
+from tests.llm.test_mixing import brute as rounds
+from tests.llm.test_pii import TEXT, plain
 from tests.llm.test_quality import corpus
 
 
@@ -41,3 +44,41 @@ def test_documents_without_an_id_stay(spark, tmp_path):
     docs = documents(spark, [(None, "a b c d e f g"), (None, "h i j k l m n"), (1, "o p q r s t u"), (2, "o p q r s t u")])
     kept = corpus_pipeline.near_duplicates(spark, docs, str(tmp_path)).collect()
     assert sorted(r.text[0] for r in kept) == ["a", "h", "o"] and {r.doc_id for r in kept} == {None, 1}
+
+
+def test_stages_against_second_implementations(spark, tmp_path):
+    """Near duplicates by all pairs, base spans by the patterns, the mix by rounds, ids by the library."""
+    rng = np.random.default_rng(11)
+    words = [f"w{i}" for i in range(900)]
+    base = [" ".join(rng.choice(words, 60)) for _ in range(25)]
+    rows = [(i, t) for i, t in enumerate(base)] + [(100 + i, f"{t} w{i}") for i, t in enumerate(base[:9])] + [(200, base[3]), (300, None), (301, ""), (302, TEXT), (7, base[20]), (7, base[7])]
+    docs = documents(spark, [(i, t, "en", f"src{i % 3}") for i, t in rows])
+    linked = brute(rows)
+    out = corpus_pipeline.near_duplicates(spark, docs, str(tmp_path))
+    kept = sorted((r.doc_id, r.text or "") for r in out.collect())
+    least = {(i, c) for i, c, _ in linked if i == c}
+    assert sorted({i for i, _ in kept}) == sorted({i for i, _ in least})
+    assert sorted(t for i, t in kept if i == 7) == sorted((base[7], base[20]))  # two texts of one id, each the least of its copies
+    clean = corpus_pipeline.personal_data(spark, out, str(tmp_path))
+    texts = {r.doc_id: r.text for r in clean.collect()}
+    assert texts[300] is None and texts[0] == base[0] and not plain(texts[302]) and "[PHONE]" in texts[302]
+    drawn = corpus_pipeline.source_mix(spark, clean, str(tmp_path))
+    given = [(r.doc_id, r.text, r.lang, r.source) for r in clean.collect()]
+    want = rounds(given, mixing.Plan(epochs=1))
+    assert sorted(r.doc_id for r in drawn.collect()) == sorted(i for i, copies in want.items() for n in copies for _ in range(n))
+    library = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    ids = {r.doc_id: r.ids for r in corpus_pipeline.token_ids(spark, drawn, str(tmp_path)).collect()}
+    assert ids == {r.doc_id: library.encode(r.text or "") for r in drawn.collect()}
+
+
+def test_rows_that_share_an_id_are_judged_by_their_texts(spark, tmp_path):
+    rows = [(1, "a b c d e f g"), (5, "a b c d e f g"), (5, "h i j k l m n"), (5, "h i j k l m n"), (6, "o p q r s t u"), (6, "v w x y z a b"), (8, None), (8, "")]
+    kept = corpus_pipeline.near_duplicates(spark, documents(spark, rows), str(tmp_path)).collect()
+    assert sorted((r.doc_id, (r.text or "")[:1]) for r in kept) == [(1, "a"), (5, "h"), (6, "o"), (6, "v"), (8, ""), (8, "")]
+
+
+def test_no_documents_and_no_labels(spark, tmp_path):
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    docs = documents(spark, [(1, None), (2, ""), (3, "one two")])
+    assert corpus_pipeline.run(spark, folder(tmp_path / "a", documents=docs.limit(0), labels=none)).count() == 0
+    assert {r.doc_id for r in corpus_pipeline.run(spark, folder(tmp_path / "b", documents=docs, labels=none)).collect()} <= {1, 2, 3}
