@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from driftwell.llm import jaccard, mixing, pieces, pii, quality
-from driftwell.llm.common import table, written
+from driftwell.llm.common import Scratch, drop, free, table, written
 
 SMALL = 1_000_000  # rows of two numbers that may be broadcast
 
@@ -24,14 +24,21 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of n-gram Jaccard links: that with the least doc_id.
 
-    Documents without an id are in no group; each stays. Where rows of one doc_id hold different
-    texts, one row stays if several are the least of their groups, and all if just one is.
+    Documents without an id, or without words, are in no group; each stays. Where rows share a doc_id, each
+    of their texts is judged by itself, and of equal ones one row stays.
     """
-    kept, _ = written(jaccard.links(docs).filter("kept").groupBy("doc_id").agg(F.count("*").alias("times")), "kept-ids")
-    small = F.broadcast if kept.count() <= SMALL else lambda x: x  # a checked size: beyond it the join shuffles
-    once = docs.join(small(kept.filter("times = 1")), "doc_id", "left_semi")
-    repeated = docs.join(small(kept.filter("times > 1")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(repeated).unionByName(docs.filter("doc_id is null")).select(*docs.columns)
+    with Scratch(spark) as scratch:
+        linked = scratch.write(jaccard.links(docs, with_key=True).select("doc_id", "kept", "set_key"), "linked", read_later=True)
+        ids = scratch.write(linked.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("times"), F.max("kept").alias("kept")).filter("kept or times > 1"), "kept-ids", read_later=True)
+        small = F.broadcast if ids.count() <= SMALL else lambda x: x  # a checked size: beyond it the join shuffles
+        out = docs.join(small(ids.filter("times = 1").select("doc_id")), "doc_id", "left_semi").unionByName(docs.filter("doc_id is null"))
+        if not (several := ids.filter("times > 1").select("doc_id")).isEmpty():
+            key = free("set_key", docs.columns)
+            rows = jaccard.keyed(docs.join(small(several), "doc_id", "left_semi").select(*docs.columns), key)
+            kept = linked.filter("kept and set_key is not null").select("doc_id", F.col("set_key").alias(key)).join(several, "doc_id", "left_semi").distinct()
+            chosen = rows.filter(F.col(key).isNotNull()).join(kept, ["doc_id", key], "left_semi").dropDuplicates(["doc_id", key])
+            out = out.unionByName(chosen.unionByName(rows.filter(F.col(key).isNull())).select(*docs.columns))
+        return out.select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +62,11 @@ ORACLE_SQL = None  # the classifier and the transducer have no SQL form
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """A stage's result is removed once its successor's is written; the last one is read by the caller."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for i, (_, stage) in enumerate(STAGES):
-        docs, _ = written(stage(spark, docs, sf_dir), f"stage-{i}")
+        docs, path = written(stage(spark, docs, sf_dir), f"stage-{i}")
+        if before:
+            drop(spark, before)
+        before = path
     return docs
