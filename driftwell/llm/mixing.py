@@ -7,12 +7,14 @@ water-filling from the root down with the capacities of whole subtrees. Weights
 and all sums are exact.
 
 A leaf's budget buys full epochs and a prefix of one more, in an order drawn from the seed and
-the epoch. The prefix ends in one hash bucket of about BUCKET rows; only that bucket's rows are
-ordered, so a leaf with a third of all rows never meets in one task.
+the epoch. The prefix ends in one hash bucket of about BUCKET rows, found by sums of runs of RUN
+buckets and then of the buckets of one run; only that bucket's rows are
+ordered, so a leaf with a third of all rows, or the sums of its buckets, never meet in one task.
 
 Null languages and sources form nodes of their own, called "unknown". Null and empty texts have
-0 tokens and never exceed a budget. Rows with the same doc_id are separate rows; those with equal
-tokens are interchangeable. Further columns are kept, whatever their names.
+0 tokens and never exceed a budget. Rows with the same doc_id, or without one, are separate rows that share
+a place in the order; those with equal tokens are interchangeable. An empty table gives an empty
+result. Further columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 from driftwell.llm.common import table, written
 
 BUCKET = 256
+RUN = 4096  # buckets
 LEVELS = ("mix_domain", "mix_lang", "mix_source")
 
 
@@ -110,15 +113,23 @@ def _labelled(docs: DataFrame) -> DataFrame:
     )
 
 
+def _first_beyond(sums: DataFrame, part: str, limit: str) -> DataFrame:
+    """For each leaf the first part whose running sum of ``held`` exceeds the limit, and what is left of the limit where it begins."""
+    upto = F.sum("held").over(W.partitionBy(*LEVELS).orderBy(part))
+    beyond = sums.withColumn("upto", upto).filter(F.col("upto") > F.col(limit)).withColumn("left", F.col(limit) - (F.col("upto") - F.col("held")))
+    return beyond.groupBy(*LEVELS).agg(F.min_by(F.struct(part, "left"), part).alias("first")).select(*LEVELS, "first.*")
+
+
 def mix(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
     """row (all columns of ``docs``), mix_domain, mix_lang, mix_source, mix_tokens, and mix_copies: times the row is drawn, from 0."""
     slim, _ = written(_labelled(docs).select("doc_id", "mix_tokens", *LEVELS), "mix-rows")
     leaves = slim.groupBy(*LEVELS).agg(F.count("*").alias("rows"), F.sum("mix_tokens").alias("tokens"))
     shares, _ = written(budgets(leaves, plan).coalesce(1), "mix-budgets")
     keyed = _ordered(slim.join(shares, list(LEVELS)), plan)
-    buckets = keyed.groupBy(*LEVELS, "rest", "mix_bucket").agg(F.sum("mix_tokens").alias("held"))
-    upto = F.sum("held").over(W.partitionBy(*LEVELS).orderBy("mix_bucket"))
-    ends = buckets.withColumn("upto", upto).filter("upto > rest").groupBy(*LEVELS).agg(F.min_by(F.struct("mix_bucket", F.expr("rest - (upto - held)").alias("inside")), "mix_bucket").alias("end"))
+    buckets, _ = written(keyed.groupBy(*LEVELS, "rest", "mix_bucket").agg(F.sum("mix_tokens").alias("held")), "mix-buckets")
+    runs = _first_beyond(buckets.groupBy(*LEVELS, "rest", F.expr(f"mix_bucket div {RUN}").alias("run")).agg(F.sum("held").alias("held")), "run", "rest")
+    inside = buckets.join(F.broadcast(runs.select(*LEVELS, "run", "left")), list(LEVELS)).filter(F.expr(f"mix_bucket div {RUN} = run"))  # one row for each leaf
+    ends = _first_beyond(inside, "mix_bucket", "left").select(*LEVELS, F.struct("mix_bucket", F.col("left").alias("inside")).alias("end"))
     ends, _ = written(shares.join(ends, list(LEVELS), "left").coalesce(1), "mix-ends")
     rows = _ordered(_labelled(docs).join(ends, list(LEVELS)), plan)
     at_end = F.coalesce(F.col("mix_bucket") == F.col("end.mix_bucket"), F.lit(False))

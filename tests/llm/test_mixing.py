@@ -51,6 +51,7 @@ ROWS = [(i, "w " * (i * 37 % 23 + 1), ("en", "fr", "de", None)[i % 7 % 4], ("src
 @pytest.mark.parametrize("plan", [mixing.Plan(), mixing.Plan(percent=150, epochs=3, seed=5), mixing.Plan(domains={"web": 50}, percent=30), mixing.Plan(percent=100, epochs=1)])
 def test_against_rounds(spark, monkeypatch, plan):
     monkeypatch.setattr(mixing, "BUCKET", 16)
+    monkeypatch.setattr(mixing, "RUN", 3)
     got = defaultdict(list)
     for r in mixing.mix(documents(spark, ROWS), plan).select("row.doc_id", "mix_copies").collect():
         got[r.doc_id].append(r.mix_copies)
@@ -62,3 +63,9 @@ def test_drawn_rows_keep_their_columns(spark):
     rows = mixing.drawn(docs, mixing.Plan(percent=50, epochs=1))
     assert rows.columns == docs.columns and 0 < rows.count() < len(ROWS)
     assert mixing.drawn(docs.limit(0)).count() == 0
+
+
+def test_rows_without_an_id(spark):
+    rows = [(None, "a b c", "en", "src1"), (None, "a b c", "en", "src1"), (None, None, None, None), (1, "x y", "en", "src1")]
+    out = mixing.mix(documents(spark, rows), mixing.Plan(percent=100, epochs=1)).collect()
+    assert len(out) == 4 and sorted(r.mix_copies for r in out if r.mix_tokens) == [1, 1, 1]
