@@ -7,8 +7,9 @@ the same stream. ``decode`` parses the markers of any baseline stream with inter
 Huffman-decodes all restart intervals of a batch in step, and keeps the DC terms: the luminance
 thumbnail at one eighth of the size. Of a stream from ``encode`` the thumbnail is the payload.
 
-Null texts count as empty; the empty text becomes one row of blanks. Damaged streams raise
-ValueError. Repeated texts give repeated results.
+Null texts count as empty; the empty text becomes one row of blanks. ``decode`` raises ValueError on
+a damaged stream; a column of streams has nulls and the reason in its place. Repeated texts give repeated results; an
+empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -398,18 +399,31 @@ def store(docs: DataFrame) -> DataFrame:
 
 
 def thumbnails(media: DataFrame) -> DataFrame:
-    """The rows of ``media`` (doc_id, n_bytes, media) with dimensions, thumbnail samples and hashes."""
+    """The rows of ``media`` (doc_id, n_bytes, media) with dimensions, thumbnail samples and hashes.
+
+    A stream that is no baseline JPEG, or is damaged or missing, has nulls and the reason in ``error``; other rows of its batch are read.
+    """
+
+    def read(streams: list[bytes]) -> list[tuple[list[Frame] | None, str | None]]:
+        try:
+            return [(f, None) if f else (None, "ValueError: no frame") for f in decode(streams)]
+        except (ValueError, IndexError, KeyError, OverflowError) as fault:
+            if len(streams) == 1:
+                return [(None, f"{type(fault).__name__}: {fault}")]
+            half = len(streams) // 2
+            return read(streams[:half]) + read(streams[half:])
 
     def run(part, streams):
-        found = decode([bytes(s) for s in streams])
+        found = read([bytes(s or b"") for s in streams])
+        each = lambda f: [None if x is None else f(x) for x, _ in found]
         return {
             "doc_id": part.column("doc_id"), "n_bytes": part.column("n_bytes"), "media": part.column("media"),
-            "width": [f[0].width for f in found], "height": [sum(x.height for x in f) for f in found],
-            "samples": pa.array([b"".join(x.thumbnail.tobytes() for x in f) for f in found], pa.binary()), "feature": [feature(f) for f in found],
+            "width": each(lambda f: f[0].width), "height": each(lambda f: sum(x.height for x in f)),
+            "samples": pa.array(each(lambda f: b"".join(x.thumbnail.tobytes() for x in f)), pa.binary()), "feature": each(feature), "error": [e for _, e in found],
         }
 
     kind = media.schema["doc_id"].dataType.simpleString()
-    return map_texts(media, run, f"doc_id {kind}, n_bytes long, media binary, width long, height long, samples binary, feature string", column="media", limit=1_000_000)
+    return map_texts(media, run, f"doc_id {kind}, n_bytes long, media binary, width long, height long, samples binary, feature string, error string", column="media", limit=1_000_000)
 
 
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -83,3 +83,12 @@ def test_table(spark, tmp_path):
         assert by_payload.setdefault(r.payload_sha256, (r.media_sha256, r.feature)) == (r.media_sha256, r.feature)
     assert len({r.feature for r in rows}) == len(by_payload)
     assert jpeg.op10_media(spark, folder(tmp_path / "none", documents=documents(spark, EDGES).limit(0))).count() == 0
+
+
+def test_a_damaged_stream_stops_no_other(spark):
+    good = [jpeg.encode([jpeg.padded(f"text {i}".encode() * 30)])[0] for i in range(6)]
+    bad = [None, b"", b"no picture", good[1][:-2], good[2][:40]]
+    rows = [(i, 1, None if s is None else bytearray(s)) for i, s in enumerate([*good[:3], *bad, *good[3:]])]
+    got = {r.doc_id: r for r in jpeg.thumbnails(spark.createDataFrame(rows, "doc_id long, n_bytes long, media binary")).collect()}
+    assert {i for i, r in got.items() if r.error} == {3, 4, 5, 6, 7} and all(r.samples is None and r.feature is None and r.width is None for r in got.values() if r.error)
+    assert all(bytes(got[i if i < 3 else i + 5].samples) == jpeg.padded(f"text {i}".encode() * 30) for i in range(6))
