@@ -9,6 +9,9 @@ from dataclasses import dataclass, field
 from driftwell.operators.checks import require
 
 
+# The fields' names are the keys of configuration files.
+
+
 @dataclass(frozen=True)
 class Job:
     name: str = ""

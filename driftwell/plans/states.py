@@ -6,6 +6,7 @@ from enum import StrEnum
 
 
 class State(StrEnum):
+    # The names that job documents hold.
     CREATED = "CREATED"
     VALIDATING_CONFIG = "VALIDATING_CONFIG"
     CONNECTING_SOURCE = "CONNECTING_SOURCE"

@@ -38,8 +38,9 @@ def test_broken_hits(spark, rows):
 
 
 def test_score_delta(spark):
-    five = hits(spark, [("q", f"doc-{i + 1}", i + 1, s) for i, s in enumerate((0.99, 0.95, 0.90, 0.885, 0.880))])
-    assert sorted(r.id for r in fingerprint.score_delta(five, 3, 1, 0.02).collect()) == ["doc-3", "doc-4", "doc-5"]
+    five = hits(spark, [("q", f"n{i + 1}", i + 1, s) for i, s in enumerate((0.81, 0.74, 0.7, 0.693, 0.64))])
+    assert sorted(r.id for r in fingerprint.score_delta(five, 3, 1, 0.06).collect()) == ["n2", "n3", "n4", "n5"]
+    assert sorted(r.id for r in fingerprint.score_delta(five, 3, 2, 0.01).collect()) == ["n3", "n4"]
     assert fingerprint.score_delta(five.limit(0), 3, 1, 0.02).count() == 0
     with pytest.raises(ValueError):
         fingerprint.score_delta(five.limit(0), 0, 1, 0.02)

@@ -14,7 +14,7 @@ def ids(*names):
     return F.array(*map(F.lit, names)).cast("array<string>")
 
 
-@pytest.mark.parametrize("a, b, want", [((), (), 0.0), (("a",), ("a",), 0.0), (("a",), ("b",), 1.0), (("a", "b"), ("b", "c"), 2 / 3), (("a", "a", "b"), ("a", "b"), 0.0), (("a",), (), 1.0)])
+@pytest.mark.parametrize("a, b, want", [((), (), 0.0), (("a",), ("a",), 0.0), (("a",), ("b",), 1.0), (("x", "y", "z"), ("z", "w"), 0.75), (("a", "a", "b"), ("a", "b"), 0.0), (("a",), (), 1.0)])
 def test_jaccard_distance(spark, a, b, want):
     assert value(spark, sets.jaccard_distance(ids(*a), ids(*b))) == pytest.approx(want)
 
@@ -26,8 +26,8 @@ def test_jaccard_of_nulls(spark):
 
 
 def test_flip_rate(spark):
-    assert value(spark, sets.flip_rate(ids("a", "b"), ids("b", "c"), ids("a", "b", "c", "d"))) == 0.5
-    assert value(spark, sets.flip_rate(ids("a"), ids("b"), ids())) == 0.0
+    assert value(spark, sets.flip_rate(ids("k", "m", "p"), ids("m", "r"), ids("k", "m", "r", "s", "t"))) == 0.4
+    assert value(spark, sets.flip_rate(ids("k"), ids("m"), ids())) == 0.0
     assert value(spark, sets.flip_rate(F.lit(None).cast("array<string>"), ids("b"), ids("b"))) == 1.0
 
 
