@@ -23,7 +23,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from driftwell.llm.common import table, written
+from driftwell.llm.common import Scratch, table
 
 BUCKET = 256
 RUN = 4096  # buckets
@@ -122,15 +122,16 @@ def _first_beyond(sums: DataFrame, part: str, limit: str) -> DataFrame:
 
 def mix(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
     """row (all columns of ``docs``), mix_domain, mix_lang, mix_source, mix_tokens, and mix_copies: times the row is drawn, from 0."""
-    slim, _ = written(_labelled(docs).select("doc_id", "mix_tokens", *LEVELS), "mix-rows")
-    leaves = slim.groupBy(*LEVELS).agg(F.count("*").alias("rows"), F.sum("mix_tokens").alias("tokens"))
-    shares, _ = written(budgets(leaves, plan).coalesce(1), "mix-budgets")
-    keyed = _ordered(slim.join(shares, list(LEVELS)), plan)
-    buckets, _ = written(keyed.groupBy(*LEVELS, "rest", "mix_bucket").agg(F.sum("mix_tokens").alias("held")), "mix-buckets")
-    runs = _first_beyond(buckets.groupBy(*LEVELS, "rest", F.expr(f"mix_bucket div {RUN}").alias("run")).agg(F.sum("held").alias("held")), "run", "rest")
-    inside = buckets.join(F.broadcast(runs.select(*LEVELS, "run", "left")), list(LEVELS)).filter(F.expr(f"mix_bucket div {RUN} = run"))  # one row for each leaf
-    ends = _first_beyond(inside, "mix_bucket", "left").select(*LEVELS, F.struct("mix_bucket", F.col("left").alias("inside")).alias("end"))
-    ends, _ = written(shares.join(ends, list(LEVELS), "left").coalesce(1), "mix-ends")
+    with Scratch(docs.sparkSession) as scratch:
+        slim = scratch.write(_labelled(docs).select("doc_id", "mix_tokens", *LEVELS), "mix-rows")
+        leaves = slim.groupBy(*LEVELS).agg(F.count("*").alias("rows"), F.sum("mix_tokens").alias("tokens"))
+        shares = scratch.write(budgets(leaves, plan).coalesce(1), "mix-budgets")
+        keyed = _ordered(slim.join(shares, list(LEVELS)), plan)
+        buckets = scratch.write(keyed.groupBy(*LEVELS, "rest", "mix_bucket").agg(F.sum("mix_tokens").alias("held")), "mix-buckets")
+        runs = _first_beyond(buckets.groupBy(*LEVELS, "rest", F.expr(f"mix_bucket div {RUN}").alias("run")).agg(F.sum("held").alias("held")), "run", "rest")
+        inside = buckets.join(F.broadcast(runs.select(*LEVELS, "run", "left")), list(LEVELS)).filter(F.expr(f"mix_bucket div {RUN} = run"))  # one row for each leaf
+        ends = _first_beyond(inside, "mix_bucket", "left").select(*LEVELS, F.struct("mix_bucket", F.col("left").alias("inside")).alias("end"))
+        ends = scratch.write(shares.join(ends, list(LEVELS), "left").coalesce(1), "mix-ends", read_later=True)
     rows = _ordered(_labelled(docs).join(ends, list(LEVELS)), plan)
     at_end = F.coalesce(F.col("mix_bucket") == F.col("end.mix_bucket"), F.lit(False))
     before = F.when(F.col("end").isNull(), F.col("rest") > 0).otherwise(F.col("mix_bucket") < F.col("end.mix_bucket"))
