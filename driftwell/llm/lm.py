@@ -3,8 +3,8 @@
 Tokens are words between ASCII white space with A-Z in lower case, and one end after each text.
 The model's units are its ``shortlist`` most frequent tokens, the end among them, and ``groups``
 spelling groups (by the last three bytes) that share out all other words. Both grow with the
-vocabulary, with its cube root (``units_for``), so that the pairs of units, which the driver gathers, grow
-more slowly than the words. A context is the unit
+vocabulary, with its fourth root (``units_for``), so that the pairs of units, which the driver gathers, grow
+with the root of the words. A context is the unit
 before (the end, before the first token). The score of a unit after a context is the product of
 two learned vectors and the unit's bias; batched matrix products give the sum over all units for every
 context, and with it normalised log-probabilities. Inside a group a word has its discounted share of the
@@ -47,7 +47,7 @@ CELLS = 4_000_000  # scores that the driver computes at once
 
 def units_for(distinct: int) -> tuple[int, int]:
     """Shortlist and groups for a vocabulary."""
-    shortlist = max(1000, math.ceil(12 * distinct ** (1 / 3)))
+    shortlist = max(1000, math.ceil(30 * distinct**0.25))
     return shortlist, shortlist // 5
 
 
@@ -156,7 +156,7 @@ def pair_counts(docs: DataFrame, units: list[bytes], groups: int) -> Pairs:
         yield from out()
 
     small_batches(docs.sparkSession)
-    found = docs.select("text").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()  # pairs of units: some 200 times distinct words ** (2 / 3) at most
+    found = docs.select("text").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()  # pairs of units: some 1300 times the root of distinct words at most
     return Pairs(size, *_summed(found.column("pair").to_numpy(), found.column("n").to_numpy()))
 
 
@@ -179,9 +179,9 @@ def train(pairs: Pairs, width: int = 32, noise: int = 20, steps: int = 120, rate
     size, total = pairs.size, float(pairs.n.sum())
     if not total:
         return Bilinear(np.zeros((size, width), np.float32), np.zeros((size, width), np.float32), np.zeros(size), np.full(size, math.log(size)))
-    before, after, share = pairs.keys // size, pairs.keys % size, (pairs.n / total).astype(np.float32)
-    unigram = (np.bincount(after, pairs.n, size) + 1) / (total + size)
-    contexts = np.bincount(before, pairs.n, size) / total
+    before, after, share = (pairs.keys // size).astype(np.int32), (pairs.keys % size).astype(np.int32), (pairs.n / total).astype(np.float32)
+    unigram = (np.bincount(after, share, size) * total + 1) / (total + size)
+    contexts = np.bincount(before, share, size)
     rng = np.random.default_rng(seed)
     w = {"context": rng.normal(0, 0.1, (size, width)).astype(np.float32), "unit": rng.normal(0, 0.1, (size, width)).astype(np.float32), "bias": np.log(unigram)}
     m, v = {k: np.zeros_like(x) for k, x in w.items()}, {k: np.zeros_like(x) for k, x in w.items()}
