@@ -28,8 +28,8 @@ def free(name: str, columns: list[str]) -> str:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Hold the session's Arrow batches to a size that leaves executors room: a task has several at a time."""
-    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 2000), ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)):
+    """Hold the session's batches to sizes that leave executors room: a task has several at a time, and rows hold whole texts or sets."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 2000), ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20), ("spark.sql.parquet.columnarReaderBatchSize", 512)):
         now = spark.conf.get(key, None)
         digits = "".join(c for c in now or "" if c in "-0123456789")
         if not digits or not 0 < int(digits) <= most:
