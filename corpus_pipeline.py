@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from driftwell.llm import jaccard, mixing, pieces, pii, quality
-from driftwell.llm.common import Scratch, drop, free, table, written
+from driftwell.llm.common import Scratch, drop, free, gathered, table, written
 
 SMALL = 1_000_000  # rows of two numbers that may be broadcast
 
@@ -29,7 +29,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     with Scratch(spark) as scratch:
         linked = scratch.write(jaccard.links(docs, with_key=True).select("doc_id", "kept", "set_key"), "linked", read_later=True)
-        ids = scratch.write(linked.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("times"), F.max("kept").alias("kept")).filter("kept or times > 1"), "kept-ids", read_later=True)
+        ids = linked.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("times"), F.max("kept").alias("kept")).filter("kept or times > 1")
+        ids = scratch.write(gathered(ids, linked.count()), "kept-ids", read_later=True)
         small = F.broadcast if ids.count() <= SMALL else lambda x: x  # a checked size: beyond it the join shuffles
         out = docs.join(small(ids.filter("times = 1").select("doc_id")), "doc_id", "left_semi").unionByName(docs.filter("doc_id is null"))
         if not (several := ids.filter("times > 1").select("doc_id")).isEmpty():

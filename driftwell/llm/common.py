@@ -14,6 +14,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 #: Rows that Spark hands to Python at once are worked on in slices of about this many characters.
 SLICE_CHARS = 4_000_000
 
+#: Rows of a small written table that share a file.
+FILE_ROWS = 4096
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -104,6 +107,15 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def gathered(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, of ``rows`` rows at most, in one partition for FILE_ROWS of them and no more than it has.
+
+    Without it a table of few rows is written as a file for each shuffle partition, and on a local
+    disk Hadoop starts three processes (chmod) for each.
+    """
+    return df.coalesce(max(1, -(-rows // FILE_ROWS)))
+
+
 def drop(spark: SparkSession, path: str) -> None:
     jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jpath, True)

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from driftwell.llm.blocks import dealt, per_task
-from driftwell.llm.common import Scratch, map_texts, spread_join, table
+from driftwell.llm.common import Scratch, gathered, map_texts, spread_join, table
 from driftwell.llm.components import Forest, components
 
 N = 5
@@ -211,7 +211,7 @@ def _by_bucket(met: DataFrame, groups: DataFrame, scratch: Scratch) -> DataFrame
     members = scratch.write(members, "jaccard-members")
     sizes = members.groupBy("hash", "part").agg(F.count("*").alias("n"))
     open_ = sizes.groupBy("hash").agg(F.max_by("part", F.struct("n", "part")).alias("most"), F.sum("n").alias("rows"), F.max("n").alias("n")).filter("n < rows")
-    open_ = scratch.write(open_.withColumn("few", F.expr("rows - n")), "jaccard-open")
+    open_ = scratch.write(gathered(open_.withColumn("few", F.expr("rows - n")), members.count()), "jaccard-open")
     if open_.isEmpty():
         return None
     found = spread_join(members, open_, "hash", "rows", members.count()).filter("most is not null")
@@ -244,13 +244,13 @@ def links(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL,
     with Scratch(docs.sparkSession) as scratch:
         signed = scratch.write(signatures(docs, bands, rows, n, seed), "jaccard-signatures", read_later=True)
         classes = signed.filter("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("id"), F.count("*").alias("times"), F.first("bands").alias("bands"))
-        classes = scratch.write(classes, "jaccard-classes")
+        classes = scratch.write(gathered(classes, signed.count()), "jaccard-classes")
         all_ = classes.select("id", F.explode("bands").alias("hash"))  # the band's number is in its hash
         stars = scratch.write(all_.groupBy("hash").agg(F.min("id").alias("hub"), F.max("id").alias("far"), F.count("*").alias("rows")).filter("hub < far").drop("far"), "jaccard-stars")
         met = scratch.write(spread_join(all_, stars, "hash", "rows", classes.count()).filter("hub is not null").select("hash", "hub", "id"), "jaccard-met")
-        pairs = scratch.write(met.filter("id <> hub").select("hub", "id").distinct(), "jaccard-hub-pairs")
+        pairs = scratch.write(gathered(met.filter("id <> hub").select("hub", "id").distinct(), met.count()), "jaccard-hub-pairs")
         ids = pairs.select("id").union(pairs.select("hub")).distinct()
-        wanted = scratch.write(classes.select("id", "set_key", "times").join(ids, "id"), "jaccard-wanted")
+        wanted = scratch.write(gathered(classes.select("id", "set_key", "times").join(ids, "id"), signed.count()), "jaccard-wanted")
         known = wanted.withColumnRenamed("id", "doc_id")
         known = F.broadcast(known) if wanted.count() <= SMALL else known.hint("merge")  # files are smaller than rows: no choice by their size
         sets = scratch.write(_sets(docs.join(known, "doc_id").withColumnRenamed("doc_id", "id"), n), "jaccard-sets")

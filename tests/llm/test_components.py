@@ -1,5 +1,6 @@
 import random
 
+from driftwell.llm import common, components as module
 from driftwell.llm.components import components
 
 
@@ -22,3 +23,28 @@ def test_against_search(spark):
     rows = components(spark.createDataFrame(edges, "a long, b long"), "test").collect()
     assert {r.id: r.component for r in rows} == {x: find(x) for x in up} and len(rows) == len(up)
     assert components(spark.createDataFrame([], "a long, b long"), "test").count() == 0
+
+
+def test_small_tables_are_few_files_and_larger_ones_more(spark, monkeypatch):
+    files = []
+
+    def counted(df, name):
+        out, path = common.written(df, name)
+        files.append(len(out.inputFiles()))
+        return out, path
+
+    monkeypatch.setattr(module, "written", counted)
+    edges = spark.createDataFrame([(i, i + 1) for i in range(0, 300, 2)] + [(900, i) for i in range(300)], "a long, b long")
+    for rows, least in ((4096, 1), (50, 2)):
+        files.clear()
+        monkeypatch.setattr(common, "FILE_ROWS", rows, raising=False)
+        before = {k: spark.conf.get(k, None) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+        try:
+            spark.conf.set("spark.sql.shuffle.partitions", "40")
+            spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+            found = {(r.id, r.component) for r in components(edges, "test").collect()}
+        finally:
+            for k, v in before.items():
+                spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+        assert found == {(i, 0) for i in (*range(300), 900)}
+        assert least <= max(files) <= 2 * 450 // rows + 2, files
