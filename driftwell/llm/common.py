@@ -17,6 +17,12 @@ SLICE_CHARS = 4_000_000
 #: Rows of a small written table that share a file.
 FILE_ROWS = 4096
 
+#: Stored bytes of documents that a task takes, and writes as one file, once every core has a task.
+TASK_BYTES = 64 << 20
+
+#: Bytes of a row group that a writer holds in memory, at most, however much its task writes.
+GROUP_BYTES = 16 << 20
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -33,10 +39,14 @@ def free(name: str, columns: list[str]) -> str:
 def small_batches(spark: SparkSession) -> None:
     """Hold the session's batches to sizes that leave executors room: a task has several at a time, and rows hold whole texts or sets."""
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 2000), ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20), ("spark.sql.parquet.columnarReaderBatchSize", 512)):
-        now = spark.conf.get(key, None)
-        digits = "".join(c for c in now or "" if c in "-0123456789")
-        if not digits or not 0 < int(digits) <= most:
-            spark.conf.set(key, str(most))
+        at_most(spark, key, most)
+
+
+def at_most(spark: SparkSession, key: str, most: int) -> None:
+    now = spark.conf.get(key, None)
+    digits = "".join(c for c in now or "" if c in "-0123456789")
+    if not digits or not 0 < int(digits) <= most:
+        spark.conf.set(key, str(most))
 
 
 def crc32_mod(column: str, modulus: int):
@@ -116,6 +126,19 @@ def gathered(df: DataFrame, rows: int) -> DataFrame:
     return df.coalesce(max(1, -(-rows // FILE_ROWS)))
 
 
+def merged(docs: DataFrame) -> DataFrame:
+    """``docs`` in a partition for TASK_BYTES of its files, in one for each core at least and no more than it has.
+
+    On a local disk Hadoop starts three processes (chmod) for each file written, and each shares
+    its executor's memory until it has a program of its own. Row groups are held to GROUP_BYTES, so
+    that a larger file takes its writer no more memory and its readers can still divide it.
+    """
+    spark = docs.sparkSession
+    at_most(spark, "parquet.block.size", GROUP_BYTES)
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # where it is unknown: some huge number
+    return docs.coalesce(min(max(-(-size // TASK_BYTES), spark.sparkContext.defaultParallelism), 2**31 - 1))
+
+
 def drop(spark: SparkSession, path: str) -> None:
     jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jpath, True)

@@ -1,7 +1,7 @@
 import corpus_pipeline
 import numpy as np
 import sentencepiece
-from driftwell.llm import mixing, pieces, quality
+from driftwell.llm import common, mixing, pieces, quality
 from tests.llm.helpers import documents, folder
 from tests.llm.test_jaccard import brute
 from tests.llm.test_mixing import brute as rounds
@@ -82,3 +82,26 @@ def test_no_documents_and_no_labels(spark, tmp_path):
     docs = documents(spark, [(1, None), (2, ""), (3, "one two")])
     assert corpus_pipeline.run(spark, folder(tmp_path / "a", documents=docs.limit(0), labels=none)).count() == 0
     assert {r.doc_id for r in corpus_pipeline.run(spark, folder(tmp_path / "b", documents=docs, labels=none)).collect()} <= {1, 2, 3}
+
+
+def test_finely_cut_documents_are_written_as_few_files(spark, tmp_path, monkeypatch):
+    rows, marks = corpus()
+    sf = folder(tmp_path, documents=documents(spark, rows).repartition(40), labels=spark.createDataFrame(marks, "doc_id long, quality int, toxic int"))
+    key, cores = "spark.sql.files.maxPartitionBytes", spark.sparkContext.defaultParallelism
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "4k")
+        docs = spark.read.parquet(f"{sf}/documents.parquet")
+        given = docs.rdd.getNumPartitions()
+        assert given >= 40 > cores
+        for stage in (corpus_pipeline.quality_filter, corpus_pipeline.personal_data, corpus_pipeline.token_ids):
+            out = stage(spark, docs, sf)
+            assert out.rdd.getNumPartitions() == cores
+        kept = {r.doc_id for r in corpus_pipeline.quality_filter(spark, docs, sf).collect()}
+        assert kept == {r.doc_id for r in quality.scored(docs, quality.learn(docs, spark.read.parquet(f"{sf}/labels.parquet")), ["doc_id"]).filter("quality_score >= 0.3").collect()}
+        assert int(spark.conf.get("parquet.block.size")) <= common.GROUP_BYTES
+        monkeypatch.setattr(common, "TASK_BYTES", 1)
+        assert common.merged(docs).rdd.getNumPartitions() == given  # tables of many bytes keep their tasks
+    finally:
+        spark.conf.set(key, before)
+    assert common.merged(documents(spark, rows).repartition(40)).count() == len(rows)
